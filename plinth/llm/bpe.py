@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from plinth.llm.shared import Generations
 
 NONE = 1 << 62
-CACHE = 400_000
+CACHE = 250_000
 
 
 @lru_cache(maxsize=4)
@@ -113,7 +113,9 @@ def _mapped(df: DataFrame, column: str, out: str, f) -> DataFrame:
     def run(batches):
         g = f()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(g, batch.column(at).to_pylist()), pa.binary())], [*batch.schema.names, out])
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(map(g, part.column(at).to_pylist()), pa.binary())], [*part.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
