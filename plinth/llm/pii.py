@@ -5,7 +5,7 @@ df(e) counts those with an entity value, df(t) those with a term, df(e, t) those
 reveals PMI(e, t) = log2(df(e, t) N / (df(e) df(t))) bits of the entity's information content IC(e) = -log2(df(e) / N); at
 a share of `disclosure` or more, seen in `support` documents or more, the term is generalised next to that entity too.
 
-Only candidates are counted: which terms are candidates is kept in a bitmap of 2**20 hash buckets, a size that no corpus
+Only terms of pairs with enough support are counted: which they are is kept in a bitmap of 2**20 hash buckets, a size that no corpus
 changes; what shares a bucket is counted in vain, never wrongly.
 """
 
@@ -153,7 +153,8 @@ def spans_of(docs: DataFrame, words: int = 5, support: int = 3, disclosure: floa
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
     found = written(find(rows, words), "spans")
     near = found.filter("row = 'w'").select("rk", "e", "t", "a", "b")
-    set_bits = near.select((F.col("t").bitwiseAND(BUCKETS - 1)).cast("int").alias("x")).distinct().collect()  # at most BUCKETS
+    pairs = written(near.select("rk", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("df_et")).filter(F.col("df_et") >= support), "pairs")
+    set_bits = pairs.select((F.col("t").bitwiseAND(BUCKETS - 1)).cast("int").alias("x")).distinct().collect()  # at most BUCKETS
     buckets = np.zeros(BUCKETS, bool)
     buckets[[r["x"] for r in set_bits]] = True
     every = found.filter("row = 'd'").select("rk", "doc_id", "base")
@@ -162,7 +163,6 @@ def spans_of(docs: DataFrame, words: int = 5, support: int = 3, disclosure: floa
     total = float(every.count())
     df_t = term_counts(rows, buckets)
     df_e = found.filter("row = 'e'").select("rk", "e").distinct().groupBy("e").agg(F.count("*").alias("df_e"))
-    pairs = near.select("rk", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("df_et")).filter(F.col("df_et") >= support)
     pmi = F.log2(F.col("df_et") * total / (F.col("df_e") * F.col("df_t")))
     content = -F.log2(F.col("df_e") / total)
     telling = pairs.join(df_e, "e").join(df_t, "t").filter((content > 0) & (pmi >= disclosure * content)).select("e", "t")
