@@ -11,12 +11,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm.shared import Generations
+from plinth.llm.shared import Generations, splitter
 
 NONE = 1 << 62
 CACHE = 250_000
@@ -90,7 +89,7 @@ class Codec:
         self.ranks = load_ranks(path)
         self.tokens = {v: k for k, v in self.ranks.items()}
         longest = max(map(len, self.ranks), default=0)
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.cache = Generations(lambda p: np.array(merge(p.encode(), self.ranks, longest), "<u4").tobytes(), CACHE)
 
     def encode(self, text: str | None) -> bytes:

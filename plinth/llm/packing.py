@@ -8,16 +8,16 @@ checksums move: one small row a document goes to its group, texts and ids never
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.shared import Generations
+from plinth.llm.shared import Generations, splitter
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CACHE = 400_000
@@ -49,8 +49,18 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return bins
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Ids:
-    """Packed ids of texts. The vocabulary's pre-tokens are independent, so each is encoded by the library once and kept."""
+    """Packed ids of texts. Matches of the split pattern are independent, so the library's model encodes each once; frequent ones are kept.
+
+    A text that spells a special token, and all texts if the tokenizer isn't a plain byte-level one, are left to the library as a whole.
+    """
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,20 +68,15 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(pattern).findall
-        self.cache = Generations(lambda p: self.whole(p), CACHE)
+        self.split, self.characters, model = splitter(pattern), _byte_characters(), self.tokenizer.model
+        self.plain = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.cache = Generations(lambda p: array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(self.characters))]).tobytes(), CACHE)
 
-    def whole(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
+        if self.plain and not any(s in text for s in self.specials):
+            return b"".join(map(self.cache.__getitem__, self.split(text)))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.split(t) for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in self.cache and p not in self.cache.old})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache.put(p, np.array(e.ids, "<u4").tobytes())
-        # a text that spells a special token is left to the library as a whole
-        return [self.whole(t) if any(s in t for s in self.specials) else b"".join(map(self.cache.__getitem__, ps)) for t, ps in zip(texts, pieces)]
-
 
 @lru_cache(maxsize=2)
 def _ids(path: str, pattern: str) -> Ids:
@@ -88,8 +93,8 @@ def pieces(docs: DataFrame, path: str, pattern: str, length: int, end_id: int) -
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 docs, counts, sums = part.column(0), [], []
-                for x in ids.batch([t or "" for t in part.column(1).to_pylist()]):
-                    x += end
+                for text in part.column(1).to_pylist():
+                    x = ids.encode(text or "") + end
                     counts.append(len(x) // 4)
                     sums.append(np.array([zlib.crc32(x[i : i + 4 * length]) for i in range(0, len(x), 4 * length)], "<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([docs, pa.array(counts, pa.int64()), pa.array(sums, pa.binary())], ["doc_id", "doc_tokens", "sums"])

@@ -5,12 +5,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from plinth.llm import bpe, chat, langid, merkle, ngramjoin, packing, pii, suffixdedup, topk, urlfilter
-from plinth.llm.shared import table
+from plinth.llm.shared import PATTERN, table
 
 #: Where the public vocabularies lie; a parameter of each operator that needs one.
 TOKENIZERS = os.environ.get("PLINTH_TOKENIZERS", "/opt/tokenizers")
-#: Fixed value: the split pattern that belongs to the byte-level rank files.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def vocabulary(name: str) -> str:

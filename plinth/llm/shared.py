@@ -1,8 +1,10 @@
 """What the operators share: reading tables, cutting lineage, generational caches."""
 
+import re
 import tempfile
 import uuid
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,6 +30,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Fixed value: the split pattern that belongs to the byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The same for texts of plain Latin-1, where letters and numbers are these ranges; alternatives that can't start alike are reordered.
+_LATIN = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9ªµºÀ-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
+_BEYOND = re.compile("[^\t-\r -\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
+
+
+def splitter(pattern: str):
+    """A function from a text to the matches of pattern; quicker for PATTERN and Latin-1 texts."""
+    find = regex.compile(pattern).findall
+    if pattern != PATTERN:
+        return find
+    return lambda text: (find if _BEYOND.search(text) else _LATIN.findall)(text)
+
+
 class Generations(dict):
     """A cache of at most 2 * cap entries: when full, the older generation goes.
 
