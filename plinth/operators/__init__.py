@@ -1 +1 @@
-"""A PySpark-native analytics engine."""
+"""DataFrame operators beyond plain SQL."""

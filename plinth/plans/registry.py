@@ -1,9 +1,100 @@
 """Queries of the engine and their SQL."""
 
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plinth.engine import Engine
+from plinth.operators import temporal
+from plinth.plans.relational import LINES, SQL
+
+
+def engine(spark: SparkSession, sf_dir: str, sql: str, warehouse: bool = False) -> Engine:
+    """An engine that knows the tables which a text names."""
+    folder = None
+    if warehouse:  # the shared folder where there is one
+        folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='plinth-')}/warehouse-{os.urandom(6).hex()}"
+    out = Engine(spark, folder)
+    for name in LINES.split():
+        if name in sql:
+            out.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return out
+
+
+def _sql(text: str):
+    return lambda spark, sf_dir: engine(spark, sf_dir, text).sql(text)
+
+
+def _matview(spark, sf_dir) -> DataFrame:
+    e = engine(spark, sf_dir, "orders", True)
+    e.sql("CREATE MATERIALIZED VIEW busy AS SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey; REFRESH MATERIALIZED VIEW busy; ALTER MATERIALIZED VIEW busy RENAME TO busiest")
+    return e.sql("SELECT o_custkey, n FROM busiest WHERE n > 12")
+
+
+def _permissions(spark, sf_dir) -> DataFrame:
+    return engine(spark, sf_dir, "customer").sql("SELECT * FROM customer", {"public.customer": ["c_custkey", "c_mktsegment"]})
+
+
+def _store(change):
+    def run(spark, sf_dir) -> DataFrame:
+        e = engine(spark, sf_dir, "orders", True)
+        rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+        e.store.replace("public", "o", rows.filter("o_orderkey % 2 = 0"))
+        change(e.store, rows)
+        return e.sql("SELECT * FROM o")
+
+    return run
+
+
+def _upsert(store, rows):
+    store.update("public", "o", rows.filter("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey", "o_custkey"], insert=True)
+
+
+def _update(store, rows):
+    store.update("public", "o", rows.filter("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey", "o_custkey"])
+
+
+def _append(store, rows):
+    last = int(store.last_cursor("public", "o", "o_orderkey"))
+    store.append("public", "o", rows.filter(f"o_orderkey % 2 = 1 AND o_orderkey < {last} / 2"))
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _asof(spark, sf_dir) -> DataFrame:
+    e = _events(spark, sf_dir)
+    return temporal.asof_join(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("seen")), "user_id", "ts", "seen").select("event_id", "seen")
+
+
+def _day(df: DataFrame) -> DataFrame:
+    return df.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+_HALF = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0"
+OTHERS = {
+    "matview_refresh": (_matview, "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12"),
+    "permission_select": (_permissions, "SELECT c_custkey, c_mktsegment FROM customer"),
+    "store_upsert": (_store(_upsert), "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"),
+    "store_update": (_store(_update), "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0"),
+    "store_delete": (_store(lambda s, rows: s.delete("public", "o", rows.filter("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey"))), _HALF + " AND o_orderkey % 3 <> 0"),
+    "cursor_append": (_store(_append), f"{_HALF} UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey < (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 2 = 0) / 2"),
+    "info_schema_columns": (lambda s, d: engine(s, d, "nation region").sql("SELECT table_name, column_name, ordinal_position FROM information_schema.columns"), "SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) AS ordinal_position FROM information_schema.columns WHERE table_name IN ('nation', 'region')"),
+    "pg_class": (lambda s, d: engine(s, d, "nation region").sql("SELECT c.relname, n.nspname FROM pg_catalog.pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace"), "SELECT * FROM (VALUES ('nation', 'public'), ('region', 'public')) t(relname, nspname)"),
+    "asof_join": (_asof, "SELECT p.event_id, (SELECT max(v.event_id) FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts = (SELECT max(w.ts) FROM events w WHERE w.event_type = 'view' AND w.user_id = p.user_id AND w.ts <= p.ts)) AS seen FROM events p WHERE p.event_type = 'purchase'"),
+    "tumbling_window": (lambda s, d: _day(temporal.tumbling(_events(s, d), "ts", "1 day", "event_type")), "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+    "session_window": (lambda s, d: _day(temporal.sessions(_events(s, d), "user_id", "ts", "6 hours")), "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM h GROUP BY user_id, k"),
+}
+
 
 def queries() -> dict:
-    return {}
+    out = {name: _sql(x if isinstance(x, str) else x[0]) for name, x in SQL.items()}
+    return out | {name: f for name, (f, _) in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {name: x if isinstance(x, str) else x[1] for name, x in SQL.items()}
+    return out | {name: sql for name, (_, sql) in OTHERS.items()}
