@@ -1,12 +1,11 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Each language has a probability for every piece of a fixed public vocabulary. A word (lower-cased, with the word-start
-mark) is scored by the forward algorithm: the sum over all its segmentations into pieces of the product of their
+Each language has a probability for every piece of a fixed public vocabulary. A word (a run of letters, lower-cased,
+with the word-start mark) is scored by the forward algorithm: the sum over all its segmentations into pieces of the product of their
 probabilities; a text by the sum of its words' logarithms. Piece probabilities come from expectation-maximisation over the
 words of a bounded sample of labelled training rows, on executors; what is collected is a table of vocabulary x languages.
 """
 
-import math
 import re
 from functools import lru_cache
 
@@ -19,7 +18,8 @@ from plinth.llm.shared import written
 
 MARK, LONGEST_WORD, UNKNOWN, CACHE = "▁", 32, 1e-7, 400_000
 MOST_LANGUAGES = 256
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_BASE = 0x9E3779B97F4A7C15
 
 
 @lru_cache(maxsize=2)
@@ -34,41 +34,71 @@ def pieces(path: str) -> tuple[dict[str, int], int]:
 
 
 def words(text: str) -> list[str]:
-    """Marked lower-case words; longer ones in runs of LONGEST_WORD characters."""
-    out = []
-    for w in text.lower().split():
-        w = MARK + w
-        if len(w) <= LONGEST_WORD:
-            out.append(w)
-        else:
-            out += [w[i : i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD)]
+    """Lower-case runs of letters; longer ones in parts of less than LONGEST_WORD characters."""
+    out = _LETTERS.findall(text.lower())
+    if max(map(len, out), default=0) >= LONGEST_WORD:
+        out = [w[i : i + LONGEST_WORD - 1] for w in out for i in range(0, len(w), LONGEST_WORD - 1)]
     return out
 
 
-def forward(word: str, known: dict[str, int], longest: int, probs: list[tuple[float, ...]], n: int) -> list[float]:
-    """Log-probability of a word in each of n languages, all segmentations summed; a character of no piece counts UNKNOWN."""
-    size = len(word)
-    f: list[list[float] | None] = [None] * (size + 1)
-    f[0] = [1.0] * n
-    every = range(n)
-    for end in range(1, size + 1):
-        got = [0.0] * n
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+@lru_cache(maxsize=2)
+def _table(path: str):
+    """Pieces by a 64-bit hash of their characters: two slot tables (the second for what collides in the first) and each piece's hash."""
+    known, longest = pieces(path)
+    up, down = np.full(LONGEST_WORD + 1, _BASE, np.uint64), np.full(LONGEST_WORD + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    hashes = _mixed(np.array([sum((ord(c) + 1) * int(up[i]) for i, c in enumerate(p[:LONGEST_WORD])) % (1 << 64) for p in known], np.uint64))
+    first = np.full(1 << 20, -1, np.int32)
+    slot = hashes >> np.uint64(44)
+    first[slot] = np.arange(len(hashes))
+    rest = np.flatnonzero(first[slot] != np.arange(len(hashes)))
+    for odd in np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64) | np.uint64(1):
+        second = np.full(1 << 20, -1, np.int32)
+        second[(hashes[rest] * odd) >> np.uint64(44)] = rest
+        if (second >= 0).sum() == len(rest):
+            return first, second, odd, hashes, up, down, longest
+    raise ValueError("the vocabulary is too large for its slot tables")
+
+
+def forward(words: list[str], vocabulary: str, probs: np.ndarray) -> np.ndarray:
+    """Log-probabilities, words x languages: for each word the sum over all its segmentations. A character of no piece counts UNKNOWN."""
+    first, second, odd, hashes, up, down, longest = _table(vocabulary)
+    marked = [MARK + w for w in words]
+    sizes = np.array([len(w) for w in marked])
+    order = np.argsort(-sizes, kind="stable")  # the words that reach a position come first
+    codes = np.frombuffer("".join(marked[i].ljust(LONGEST_WORD, "\0") for i in order).encode("utf-32-le"), "<u4").reshape(len(words), LONGEST_WORD)
+    sums = np.zeros((LONGEST_WORD + 1, len(words)), np.uint64)
+    np.cumsum(((codes + np.uint64(1)) * up[:LONGEST_WORD]).T, axis=0, out=sums[1:])
+    f = np.zeros((LONGEST_WORD + 1, len(words), probs.shape[1]))
+    f[0] = 1
+    sizes = sizes[order]
+    for end in range(1, int(sizes[0]) + 1):
+        m = int(np.searchsorted(-sizes, -end, side="right"))
+        got = f[end, :m]
         for start in range(max(0, end - longest), end):
-            at = known.get(word[start:end])
-            if at is not None:
-                p, q = probs[at], f[start]
-                for k in every:
-                    got[k] += q[k] * p[k]
-            elif start == end - 1:
-                q = f[start]
-                for k in every:
-                    got[k] += q[k] * UNKNOWN
-        f[end] = got
-    return [math.log(x) for x in f[size]]
+            h = _mixed((sums[end, :m] - sums[start, :m]) * down[start])
+            at = first[h >> np.uint64(44)]
+            wrong = hashes[at] != h
+            other = second[(h[wrong] * odd) >> np.uint64(44)]
+            at[wrong] = np.where((other >= 0) & (hashes[other] == h[wrong]), other, -1)
+            hit = np.flatnonzero(at >= 0)
+            got[hit] += f[start, hit] * probs[at[hit]]
+            if start == end - 1:
+                got[at < 0] += f[start, :m][at < 0] * UNKNOWN
+    out = np.empty((len(words), probs.shape[1]))
+    out[order] = np.log(f[sizes, np.arange(len(words))])
+    return out
 
 
 def expected(word: str, weight: float, known: dict[str, int], longest: int, probs, counts) -> None:
     """Adds the expected number of each piece in a word, under one language's probs, to counts."""
+    word = MARK + word
     size = len(word)
     f, b = [0.0] * (size + 1), [0.0] * (size + 1)
     f[0] = b[size] = 1.0
@@ -88,7 +118,7 @@ def expected(word: str, weight: float, known: dict[str, int], longest: int, prob
             counts[at] = counts.get(at, 0.0) + weight * f[start] * p * b[end] / f[size]
 
 
-def fit(train: DataFrame, vocabulary: str, most_docs: int = 20_000, rounds: int = 2, smoothing: float = 0.05) -> tuple[list[str], np.ndarray]:
+def fit(train: DataFrame, vocabulary: str, most_docs: int = 8_000, rounds: int = 2, smoothing: float = 0.05) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities (pieces x languages) from rows (doc_id, text, lang).
 
     At most about most_docs rows, chosen by a hash of doc_id and text, are used. No rows: no languages.
@@ -139,35 +169,51 @@ class Scorer:
     """Scores texts; a bounded cache keeps words' log-probabilities."""
 
     def __init__(self, vocabulary: str, langs: list[str], probs: np.ndarray):
-        self.known, self.longest = pieces(vocabulary)
-        self.probs, self.langs = [tuple(r) for r in probs.tolist()], langs
+        self.vocabulary, self.langs, self.probs = vocabulary, langs, probs
         self.rows, self.at = np.empty((CACHE, max(1, len(langs)))), {}
 
-    def _add(self, word: str) -> int:
-        at = len(self.at)
-        self.rows[at] = forward(word, self.known, self.longest, self.probs, len(self.langs))
-        self.at[word] = at
-        return at
-
-    def log_probs(self, text: str) -> np.ndarray:
-        all_words, total = words(text), np.zeros(len(self.langs))
-        for i in range(0, len(all_words), 65536):
-            part = all_words[i : i + 65536]
-            if len(self.at) + len(part) > CACHE:
-                self.at.clear()
-            get, add = self.at.get, self._add
-            numbers = [get(w) for w in part]
-            if None in numbers:
-                numbers = [self.at[w] if w in self.at else add(w) for w in part]
-            total += self.rows[numbers].sum(axis=0)
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
-            return "und", 0.0
-        x = self.log_probs(text)
-        best = int(np.argmax(x))
-        return self.langs[best], float(1 / np.exp(x - x[best]).sum())
+    def log_probs(self, parts: list[list[str]]) -> list[np.ndarray]:
+        """The sum of each list's words; all lists together hold at most CACHE words."""
+        new = set().union(*parts) - self.at.keys()
+        if len(self.at) + len(new) > CACHE:
+            self.at.clear()
+            new = set().union(*parts)
+        new = sorted(new)
+        for i in range(0, len(new), 8192):
+            self.rows[len(self.at) : len(self.at) + len(new[i : i + 8192])] = forward(new[i : i + 8192], self.vocabulary, self.probs)
+            self.at.update(zip(new[i : i + 8192], range(len(self.at), CACHE)))
+        get = self.at.__getitem__
+        return [self.rows[list(map(get, p))].sum(axis=0) for p in parts]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        totals: list[np.ndarray | None] = [None] * len(texts)
+        held: list[tuple[int, list[str]]] = []
+        room = CACHE // 2
+
+        def settle():
+            for (k, _), x in zip(held, self.log_probs([p for _, p in held])):
+                totals[k] = x if totals[k] is None else totals[k] + x
+            held.clear()
+
+        used = 0
+        for k, text in enumerate(texts):
+            found = words(text) if text and self.langs else []
+            for i in range(0, len(found), room):
+                part = found[i : i + room]
+                if used + len(part) > CACHE:
+                    settle()
+                    used = 0
+                held.append((k, part))
+                used += len(part)
+        settle()
+        out = []
+        for x in totals:
+            if x is None:
+                out.append(("und", 0.0))
+            else:
+                best = int(np.argmax(x))
+                out.append((self.langs[best], float(1 / np.exp(x - x[best]).sum())))
+        return out
 
 
 def identify(docs: DataFrame, train: DataFrame, vocabulary: str, **options) -> DataFrame:
@@ -185,8 +231,10 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary: str, **options) -> D
     def run(batches):
         s = Scorer(vocabulary, *shared.value)
         for batch in batches:
-            found = [s.predict(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*batch.schema.names, "_lang_pred", "_lang_score"])
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                found = s.predict(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*batch.schema.names, "_lang_pred", "_lang_score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]))
 

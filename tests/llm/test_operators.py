@@ -399,17 +399,23 @@ def test_language_id(spark, documents, awkward):
 
 
 def test_forward_sums_all_segmentations():
-    known = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "aba"])}
-    probs = [(0.1,), (0.2,), (0.3,), (0.25,), (0.15,)]
-
-    def every(w):
-        return 1.0 if not w else sum(probs[known[w[:n]]][0] * every(w[n:]) for n in range(1, len(w) + 1) if w[:n] in known)
-
-    for w in ("a", "ab", "abab", "ababba"):
-        assert np.isclose(langid.forward(w, known, 3, probs, 1)[0], np.log(every(w)))
+    path = vocabulary("piece_bpe_32k.model")
+    known, longest = langid.pieces(path)
+    probs = np.random.default_rng(0).random((len(known), 2)) / 100
+
+    def every(w, k):
+        f = [1.0]
+        for end in range(1, len(w) + 1):
+            f.append(sum(f[start] * (probs[known[w[start:end]], k] if w[start:end] in known else langid.UNKNOWN if start == end - 1 else 0) for start in range(end)))
+        return f[-1]
+
+    words = ["the", "und", "ö", "\u16a0x", "internationalisation", "a" * 31, "éèê", "x", "的是"]
+    got = langid.forward(words, path, probs)
+    assert np.allclose(got, [[np.log(every(langid.MARK + w, k)) for k in (0, 1)] for w in words])
+    small = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "ba", "aba"])}
     counts: dict = {}
-    langid.expected("abab", 2.0, known, 3, [p[0] for p in probs], counts)
-    assert np.isclose(sum(counts[known[p]] * len(p) for p in known), 8.0)
+    langid.expected("abab", 2.0, small, 3, [0.1, 0.1, 0.2, 0.3, 0.25, 0.15], counts)
+    assert np.isclose(sum(counts[small[p]] * len(p) for p in small if small[p] in counts), 10.0)
 
 
 # --- op10
