@@ -230,7 +230,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     parts = components(stars).withColumnRenamed("root", "g")
     sizes = parts.groupBy("g").agg(F.count("*").alias("n")).select("g", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     placed = written(parts.join(sizes, "g").join(nodes.select("node", "weight", "rk"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "candidates")
-    texts = rows.select("rk", "text").join(placed, "rk")
+    texts = rows.select("rk", "text").hint("merge").join(placed, "rk")  # neither side has a bound
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     units = texts.withColumn("p", F.explode(pairs)).select("g", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "node", "weight", "text")
     units = units.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
@@ -249,7 +249,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     many = found.filter("n_links > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("keep"))
     gone = found.filter("n_links > 0").join(many, "root").filter("rk <> keep.rk").select(F.col("rk").alias("_plinth_rk")).distinct()
     keyed = docs.withColumn("_plinth_rk", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    kept = keyed.join(gone, "_plinth_rk", "left_anti")
+    kept = keyed.hint("merge").join(gone, "_plinth_rk", "left_anti")
     if found.filter("n_links > 0").groupBy("rk").count().filter("count > 1").limit(1).count():  # the same row more than once
         twice = found.filter("n_links > 0").select(F.col("rk").alias("_plinth_rk")).distinct()
         kept = kept.join(twice, "_plinth_rk", "left_anti").unionByName(kept.join(twice, "_plinth_rk", "left_semi").dropDuplicates(["_plinth_rk"]))

@@ -184,7 +184,7 @@ def masked(text: str, base: str, terms: list[tuple[int, int]]) -> str:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with every span in `text` masked; a null text stays null, n_chars follows the text where it exists."""
     spans = spans_of(docs, **options).filter("base <> '' OR size(terms) > 0").select(F.col("rk").alias("_plinth_rk"), F.col("base").alias("_plinth_base"), F.transform("terms", lambda x: F.array(x["a"], x["b"])).alias("_plinth_terms")).dropDuplicates(["_plinth_rk"])
-    joined = docs.withColumn("_plinth_rk", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(spans, "_plinth_rk", "left")
+    joined = docs.withColumn("_plinth_rk", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).hint("merge").join(spans, "_plinth_rk", "left")  # neither side has a bound
 
     @F.pandas_udf("string")
     def mask(text, base, terms):
