@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plinth.llm.shared import written
 
@@ -336,20 +337,22 @@ def _hot_intervals(rows: DataFrame, length: int, k: int) -> DataFrame:
     return strings.join(twice, ["a", "b"]).select("rk", "start", (F.col("start") + length).alias("end"))
 
 
-def dedup(docs: DataFrame, length: int = 400, k: int = 32, hot: int = 100_000) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, k: int = 32, hot: int = 100_000, rest: list | None = None) -> DataFrame:
     """(doc_id, rk, n_bytes, spans, kept) of each row of docs (doc_id, text): repeated runs and the bytes that are left.
 
     Null texts are empty. Texts shorter than `length` stay whole; repeated rows repeat each other. Matches within one
-    text count, overlapping ones too. An empty table gives no rows. rk is xxhash64(doc_id, text).
+    text count, overlapping ones too. An empty table gives no rows. rk is xxhash64(doc_id, text). rest: columns carried along as a struct `rest`.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
+    extra = F.struct(*rest) if rest else F.lit(None).cast("struct<none:boolean>")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), extra.alias("rest")).withColumn("rk", F.xxhash64("doc_id", "text"))
     found = written(_anchor_rows(rows, length, k), "anchors")
     twice = found.groupBy("key").agg(F.count("*").alias("places")).filter("places > 1")
     again = written(found.join(twice, "key").select("key", "rk", "pos", (F.col("places") > hot).alias("hot")), "repeated")
     lists = again.groupBy("rk", "hot").agg(F.collect_list(F.struct("pos", "key")).alias("at"))
-    dealt = rows.select("rk", "doc_id", "text").repartition("rk")
-    texts = dealt.select("rk", "text").join(lists.filter(~F.col("hot")).select("rk", "at"), "rk")
-    spans = _intervals(_context_rows(texts.select("rk", "text", "at"), length, k), length, k)
+    dealt = rows.select("rk", "doc_id", "text", "rest").repartition("rk")
+    # both uses of dealt read all its columns, so that its one shuffle serves both
+    texts = dealt.join(lists.filter(~F.col("hot")).select("rk", "at"), "rk")
+    spans = _intervals(_context_rows(texts.select("rk", "text", "at", "doc_id", "rest"), length, k), length, k)
     if again.filter("hot").limit(1).count():
         spans = spans.unionByName(_hot_intervals(dealt.select("rk", "text").join(lists.filter("hot").select("rk", "at"), "rk").select("rk", "text", "at"), length, k))
     by_row = spans.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
@@ -369,10 +372,11 @@ def dedup(docs: DataFrame, length: int = 400, k: int = 32, hot: int = 100_000) -
                 n.append(len(data))
                 runs.append([{"start": a, "end": b} for a, b in merged])
                 kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["rk", "doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), batch.column(4)], ["rk", "doc_id", "n_bytes", "spans", "kept", "rest"])
 
-    joined = dealt.join(by_row, "rk", "left").select("rk", F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
-    return joined.mapInArrow(cut, "rk long, doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    joined = dealt.join(by_row, "rk", "left").select("rk", "doc_id", "text", "runs", "rest")
+    out = T.StructType([T.StructField("rk", T.LongType()), joined.schema["doc_id"], *T._parse_datatype_string("n_bytes long, spans array<struct<start:long,end:long>>, kept binary").fields, joined.schema["rest"]])
+    return joined.mapInArrow(cut, out).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def cut_out(docs: DataFrame, **options) -> DataFrame:
@@ -380,20 +384,26 @@ def cut_out(docs: DataFrame, **options) -> DataFrame:
 
     Bytes of a character that a cut splits go too; null texts stay null.
     """
-    keyed = docs.withColumn("_plinth_rk", F.xxhash64("doc_id", F.col("text").cast("string")))
-    found = dedup(docs, **options).filter(F.size("spans") > 0).select(F.col("rk").alias("_plinth_rk"), F.col("kept").alias("_plinth_kept")).dropDuplicates(["_plinth_rk"])
+    names = docs.columns
+    rest = [F.col("text").isNull().alias("c_null"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"]]
+    found = dedup(docs, rest=rest, **options)
 
     @F.pandas_udf("string")
     def readable(kept):
         return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
 
-    out = keyed.join(found, "_plinth_rk", "left").withColumn("text", F.when(F.col("_plinth_kept").isNull(), F.col("text")).otherwise(readable("_plinth_kept")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    whole = F.when(F.col("rest.c_null"), F.lit(None)).when(F.size("spans") == 0, F.col("kept").cast("string"))
+    found = found.withColumn("clean", whole.otherwise(readable(F.when(F.size("spans") > 0, F.col("kept")))))
+    columns = []
+    for i, c in enumerate(names):
+        value = F.col("clean") if c == "text" else F.col(f"rest.c{i}")
+        if c == "n_chars":
+            value = F.coalesce(F.char_length("clean").cast(docs.schema[c].dataType), value)
+        columns.append(value.alias(c))
+    return found.select(*columns)
 
 
 def query(documents: DataFrame) -> DataFrame:
-    out = dedup(documents)
+    out = dedup(documents).drop("rest")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
