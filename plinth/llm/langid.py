@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm.shared import written
 
-MARK, LONGEST_WORD, UNKNOWN, CACHE = "▁", 32, 1e-7, 400_000
+MARK, LONGEST_WORD, UNKNOWN, CACHE = "▁", 32, 1e-7, 150_000
 MOST_LANGUAGES = 256
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = 0x9E3779B97F4A7C15

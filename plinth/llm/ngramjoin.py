@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm.shared import Generations, written
 
-WORDS = 400_000
+WORDS = 150_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from plinth.llm.shared import Generations, splitter
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE = 400_000
+CACHE = 120_000
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
