@@ -8,8 +8,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows in a batch between the JVM and Python: rows hold whole texts, so Spark's default of 10,000 would be tens of MB on each side.
+BATCH_ROWS = 512
+
+
+def short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark's own reader (any Hadoop path)."""
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
+    short_batches(spark)
     path = f"{shared_dir(spark)}/plinth/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
