@@ -18,6 +18,29 @@ _UDT = {"bigint": "int8", "int": "int4", "smallint": "int2", "double": "float8",
 _NAME = {"int8": "bigint", "int4": "integer", "int2": "smallint", "float8": "double precision", "float4": "real", "text": "text", "bool": "boolean", "date": "date", "timestamptz": "timestamp with time zone", "timestamp": "timestamp without time zone", "bytea": "bytea", "numeric": "numeric"}
 _OID = {"bool": 16, "bytea": 17, "int8": 20, "int2": 21, "int4": 23, "text": 25, "float4": 700, "float8": 701, "date": 1082, "timestamp": 1114, "timestamptz": 1184, "numeric": 1700}
 
+#: Base types by name: oid, oid of its arrays (0: none), size, category.
+TYPES = {
+    "bool": (16, 1000, 1, "B"), "bytea": (17, 1001, -1, "U"), "char": (18, 1002, 1, "Z"), "name": (19, 1003, 64, "S"), "int8": (20, 1016, 8, "N"), "int2": (21, 1005, 2, "N"),
+    "int2vector": (22, 1006, -1, "A"), "int4": (23, 1007, 4, "N"), "regproc": (24, 1008, 4, "N"), "text": (25, 1009, -1, "S"), "oid": (26, 1028, 4, "N"), "tid": (27, 1010, 6, "U"),
+    "xid": (28, 1011, 4, "U"), "cid": (29, 1012, 4, "U"), "oidvector": (30, 1013, -1, "A"), "json": (114, 199, -1, "U"), "xml": (142, 143, -1, "U"), "point": (600, 1017, 16, "G"),
+    "lseg": (601, 1018, 32, "G"), "path": (602, 1019, -1, "G"), "box": (603, 1020, 32, "G"), "polygon": (604, 1027, -1, "G"), "line": (628, 629, 24, "G"), "cidr": (650, 651, -1, "I"),
+    "float4": (700, 1021, 4, "N"), "float8": (701, 1022, 8, "N"), "circle": (718, 719, 24, "G"), "macaddr8": (774, 775, 8, "U"), "money": (790, 791, 8, "N"), "macaddr": (829, 1040, 6, "U"),
+    "inet": (869, 1041, -1, "I"), "bpchar": (1042, 1014, -1, "S"), "varchar": (1043, 1015, -1, "S"), "date": (1082, 1182, 4, "D"), "time": (1083, 1183, 8, "D"), "timestamp": (1114, 1115, 8, "D"),
+    "timestamptz": (1184, 1185, 8, "D"), "interval": (1186, 1187, 16, "T"), "timetz": (1266, 1270, 12, "D"), "bit": (1560, 1561, -1, "V"), "varbit": (1562, 1563, -1, "V"),
+    "numeric": (1700, 1231, -1, "N"), "refcursor": (1790, 2201, -1, "U"), "regprocedure": (2202, 2207, 4, "N"), "regoper": (2203, 2208, 4, "N"), "regoperator": (2204, 2209, 4, "N"),
+    "regclass": (2205, 2210, 4, "N"), "regtype": (2206, 2211, 4, "N"), "uuid": (2950, 2951, 16, "U"), "pg_lsn": (3220, 3221, 8, "U"), "tsvector": (3614, 3643, -1, "U"), "tsquery": (3615, 3645, -1, "U"),
+    "jsonb": (3802, 3807, -1, "U"), "regnamespace": (4089, 4090, 4, "N"), "regrole": (4096, 4097, 4, "N"), "xid8": (5069, 271, 8, "U"),
+}
+#: Columns and the row of tables that hold one.
+ONE_ROW = {
+    "pg_shadow": ("usename string, usesysid long, usecreatedb boolean, usesuper boolean, userepl boolean, usebypassrls boolean, passwd string, valuntil timestamp, useconfig array<string>", ("$user", 10, False, False, True, False, "$passwd", None, None)),
+    "pg_user": ("usename string, usesysid long, usecreatedb boolean, usesuper boolean, userepl boolean, usebypassrls boolean, passwd string, valuntil timestamp, useconfig array<string>", ("$user", 10, True, True, True, True, "", None, None)),
+    "pg_roles": ("oid long, rolname string, rolsuper boolean, rolinherit boolean, rolcreaterole boolean, rolcreatedb boolean, rolcanlogin boolean, rolreplication boolean, rolconnlimit int, rolpassword string, rolvaliduntil timestamp, rolbypassrls boolean, rolconfig array<string>", (10, "$user", True, True, True, True, True, False, -1, None, None, False, None)),
+    "pg_extension": ("oid long, extname string, extowner long, extnamespace long, extrelocatable boolean, extversion string, extconfig array<string>, extcondition array<string>", (13823, "plpgsql", 10, 11, False, "1.0", None, None)),
+    "pg_database": ("oid long, datname string, datdba long, encoding int, datlocprovider string, datistemplate boolean, datallowconn boolean, datconnlimit int, datfrozenxid long, datminmxid int, dattablespace long, datcollate string, datctype string, datlocale string", (16388, "$database", 10, 6, "c", False, True, -1, 722, 1, 1663, "en_US.UTF-8", "en_US.UTF-8", "en_US.UTF-8")),
+    "pg_collation": ("oid long, collname string, collnamespace long, collowner long, collprovider string, collisdeterministic boolean, collencoding int, collcollate string, collctype string, colliculocale string, collicurules string, collversion string", (100, "default", 11, 10, "d", True, -1, None, None, None, None, None)),
+}
+
 
 def oid(*name: str) -> int:
     return 16384 + zlib.crc32(".".join(name).encode()) % 2_000_000_000
@@ -58,7 +81,9 @@ def table(engine, schema: str, name: str, permissions: dict | None) -> DataFrame
     if name == "pg_attribute":
         return make([(oid(s, n), c, _OID[u], i + 1, False, False) for s, n, cs, _ in frames for i, (c, kind) in enumerate(cs) for u in [("numeric" if kind.startswith("decimal") else _UDT.get(kind, "text"))]], "attrelid long, attname string, atttypid long, attnum int, attnotnull boolean, attisdropped boolean")
     if name == "pg_type":
-        return make([(o, n, oid("pg_catalog"), "b") for n, o in sorted(_OID.items())], "oid long, typname string, typnamespace long, typtype string")
+        rows = [(o, n, oid("pg_catalog"), 10, size, "b", category, True, array, 0) for n, (o, array, size, category) in TYPES.items()]
+        rows += [(array, f"_{n}", oid("pg_catalog"), 10, -1, "b", "A", True, 0, o) for n, (o, array, _, _) in TYPES.items() if array]
+        return make(sorted(rows), "oid long, typname string, typnamespace long, typowner long, typlen int, typtype string, typcategory string, typisdefined boolean, typarray long, typelem long")
     if name == "pg_tables":
         return make([(s, n, "plinth") for s, n, _, view in frames if not view], "schemaname string, tablename string, tableowner string")
     if name == "pg_matviews":
@@ -66,16 +91,10 @@ def table(engine, schema: str, name: str, permissions: dict | None) -> DataFrame
         return make(rows, "schemaname string, matviewname string, definition string")
     if name == "pg_stat_user_tables":
         return make([(oid(s, n), s, n, 1) for s, n, _, _ in frames], "relid long, schemaname string, relname string, n_live_tup long")
-    if name == "pg_database":
-        return make([(16388, "plinth", 10, 6, False, True)], "oid long, datname string, datdba long, encoding int, datistemplate boolean, datallowconn boolean")
-    if name in ("pg_user", "pg_shadow"):
-        return make([("plinth", 10, False)], "usename string, usesysid long, usesuper boolean")
-    if name == "pg_roles":
-        return make([(10, "plinth", True, True)], "oid long, rolname string, rolsuper boolean, rolcanlogin boolean")
-    if name == "pg_extension":
-        return make([(13823, "plpgsql", "1.0")], "oid long, extname string, extversion string")
-    if name == "pg_collation":
-        return make([(100, "default")], "oid long, collname string")
+    if name in ("pg_database", "pg_user", "pg_shadow", "pg_roles", "pg_extension", "pg_collation"):
+        columns, values = ONE_ROW[name]
+        database, user, passwd = engine.identity
+        return make([tuple({"$database": database, "$user": user, "$passwd": passwd}.get(v, v) if isinstance(v, str) else v for v in values)], columns)
     if name == "pg_settings":
         return make(sorted(engine.settings.items()), "name string, setting string")
     if name in EMPTY or name.startswith(("pg_stat", "pg_")):
