@@ -127,7 +127,11 @@ def _at(path: str):
 
 def crm_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Flat records of JSON lines `{"values": {attribute: [value, ...]}}`; kind is companies, people or deals."""
-    raw = spark.read.schema("values map<string, array<string>>").json(path)
+    return crm_of(spark.read.schema("values map<string, array<string>>").json(path), kind)
+
+
+def crm_of(raw: DataFrame, kind: str) -> DataFrame:
+    """Flat records from rows of `values`, a map of attributes to lists of JSON texts."""
     out = []
     for c in CRM_COLUMNS[kind].split():
         name, how, to = c.split(":") + ["value", "string"][c.count(":") :]

@@ -27,6 +27,11 @@ class Catalog:
         with closing(self.db.execute(sql, args)) as c:
             return c.fetchall()
 
+    def swap(self, sql: str, *args) -> int:
+        """Runs one change; how many rows it changed."""
+        with closing(self.db.execute(sql, args)) as c:
+            return c.rowcount
+
     def transaction(self, *steps: tuple[str, tuple]) -> None:
         self.db.execute("BEGIN IMMEDIATE")
         try:
@@ -80,12 +85,28 @@ class Store:
             raise ValueError(f"columns {sorted(df.columns)} differ from the table's {sorted(have.names)}")
         return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in have])
 
-    def append(self, schema: str, name: str, df: DataFrame) -> None:
-        """Adds files; the column set must be the table's."""
+    def landed(self, df: DataFrame) -> DataFrame:
+        """df as written files of no table: it is computed once. `vacuum` deletes them."""
+        path = self._write("_landed", "rows", df)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _bytes(self, path: str) -> int:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+    def append(self, schema: str, name: str, df: DataFrame, small: int = 100 << 20) -> None:
+        """Adds files; the column set must be the table's. A last batch of under `small` bytes is written again with the new rows.
+
+        A table that was changed meanwhile fails the append instead of losing the other change.
+        """
         rows = self._same_columns(schema, name, df)
         old = self.catalog.all("SELECT path FROM tables WHERE schema = ? AND name = ?", schema, name)[0][0]
-        path = self._write(schema, name, rows)
-        self.catalog.transaction(("UPDATE tables SET path = ? WHERE schema = ? AND name = ?", (f"{old}\n{path}", schema, name)))
+        paths = old.split("\n")
+        if self._bytes(paths[-1]) < small:
+            rows = self.spark.read.schema(self.schema_of(schema, name)).parquet(paths.pop()).unionByName(rows)
+        paths.append(self._write(schema, name, rows))
+        if not self.catalog.swap("UPDATE tables SET path = ? WHERE schema = ? AND name = ? AND path = ?", "\n".join(paths), schema, name, old):
+            raise RuntimeError(f"{schema}.{name} was changed during an append")
 
     def update(self, schema: str, name: str, df: DataFrame, keys: list[str], insert: bool = False) -> None:
         """Rows whose whole key is in df take df's values; with insert, unmatched rows of df are added (upsert)."""
