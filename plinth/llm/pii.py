@@ -1,12 +1,14 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the words that give them away.
 
-Base spans (email, ip, card, phone) are protected entities. Words near a span are candidate terms. Over all documents,
-df(e) counts those with an entity value, df(t) those with a term, df(e, t) those where t stands near e. With N documents, the term
-reveals PMI(e, t) = log2(df(e, t) N / (df(e) df(t))) bits of the entity's information content IC(e) = -log2(df(e) / N); at
-a share of `disclosure` or more, seen in `support` documents or more, the term is generalised next to that entity too.
-
-Only terms of pairs with enough support are counted: which they are is kept in a bitmap of 2**20 hash buckets, a size that no corpus
-changes; what shares a bucket is counted in vain, never wrongly.
+Base spans (email, ip, card, phone) are protected entities: each value, and each class of values (an e-mail's domain, an ip's first three
+parts, a card's first six digits, a phone's first five). Words near a span are candidate terms. Over all documents, df(e) counts those
+with an entity, df(t) those with a term, df(e, t) those where t stands near e. With N documents and p = df(e) / N, a term
+makes the entity as likely as P(e | t) = (df(e, t) + prior p) / (df(t) + prior), counts smoothed by `prior` documents that hold e at its
+usual rate. It reveals log2(P(e | t) / p) bits of the entity's information content -log2(p); at a share of
+`disclosure` or more the term is generalised next to that entity too. No count is too small: values of one document take part.
+
+Only terms of some pair are counted: which they are is kept in a bitmap of 2**26 hashes, a size that no corpus
+changes; what shares a bit is counted in vain, never wrongly.
 """
 
 import re
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from plinth.llm.shared import written
 
 KINDS = ("email", "ip", "card", "phone")
-BUCKETS = 1 << 20
+BITS = 1 << 26
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
@@ -70,6 +72,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def entities(kind: str, value: str) -> list[int]:
+    """Hashes of a span's value and of its class."""
+    value = value.lower()
+    digits = "".join(_DIGIT.findall(value))
+    group = {"email": value.rpartition("@")[2], "ip": value.rpartition(".")[0], "card": digits[:6], "phone": digits[:5]}[kind]
+    return [_HASH(f"{kind}:{value}"), _HASH(f"{kind}/{group}")]
+
+
 def near_terms(text: str, start: int, end: int, words: int) -> list[tuple[str, int, int]]:
     """Up to `words` words with letters, of four characters or more, on each side of a span; at most 64 characters a word away are read."""
     a, b = max(0, start - 64 * words), min(len(text), end + 64 * words)
@@ -106,30 +116,40 @@ def find(rows: DataFrame, words: int) -> DataFrame:
                 spans = base_spans(text)
                 out.append(("d", rk, doc, _joined(spans), None, None, None, None))
                 for kind, s, e in spans:
-                    entity = _HASH(f"{kind}:{text[s:e].lower()}")
-                    out.append(("e", rk, doc, None, entity, None, None, None))
-                    for term, a, b in near_terms(text, s, e, words):
-                        if not any(a < y and x < b for _, x, y in spans):
-                            out.append(("w", rk, doc, None, entity, _HASH(term), a, b))
+                    near = [(_HASH(term), a, b) for term, a, b in near_terms(text, s, e, words) if not any(a < y and x < b for _, x, y in spans)]
+                    for entity in entities(kind, text[s:e]):
+                        out.append(("e", rk, doc, None, entity, None, None, None))
+                        out += [("w", rk, doc, None, entity, *x) for x in near]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return rows.select("rk", "doc_id", "text").mapInArrow(run, FOUND)
 
 
-def term_counts(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
-    """(t, df): documents with each term whose hash bucket is set."""
-    packed = np.packbits(buckets).tobytes()
+def bitmap(terms: DataFrame) -> np.ndarray:
+    """BITS bits, those of the hashes t set, as 64-bit words. Each word that isn't zero comes to the driver as a row."""
+    at = F.col("t").bitwiseAND(BITS - 1)
+    found = terms.select(F.shiftright(at, 6).cast("int").alias("k"), F.expr("shiftleft(1L, cast(t & 63 AS int))").alias("x")).groupBy("k").agg(F.bit_or("x").alias("x")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[found["k"].to_numpy()] = found["x"].to_numpy()
+    return out
+
+
+def _in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[(h & (BITS - 1)) >> 6] >> (h & 63)) & 1 == 1
+
+
+def term_counts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(t, df): documents with each term whose bit is set."""
 
     def run(batches):
-        wanted = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         counts: dict[str, int] = {}
 
         def flush():
             words = [w for w in counts if len(w) >= 4]
             h = np.array([_HASH(w) for w in words], np.int64)
             n = np.array([counts[w] for w in words], np.int64)
-            take = wanted[h & (BUCKETS - 1)] if len(h) else np.empty(0, bool)
+            take = _in_bitmap(bits, h)
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(n[take])], ["t", "n"])
 
@@ -144,7 +164,7 @@ def term_counts(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
     return rows.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("df_t"))
 
 
-def spans_of(docs: DataFrame, words: int = 5, support: int = 3, disclosure: float = 0.8) -> DataFrame:
+def spans_of(docs: DataFrame, words: int = 5, prior: float = 1.0, disclosure: float = 0.8) -> DataFrame:
     """(rk, doc_id, base, terms) of each row of docs (doc_id, text): base spans as kind:start:end, and an array of (a, b) of revealing terms.
 
     Null texts are empty; repeated rows each give a row and count as documents each; an empty table gives no rows. rk is
@@ -153,19 +173,15 @@ def spans_of(docs: DataFrame, words: int = 5, support: int = 3, disclosure: floa
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
     found = written(find(rows, words), "spans")
     near = found.filter("row = 'w'").select("rk", "e", "t", "a", "b")
-    pairs = written(near.select("rk", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("df_et")).filter(F.col("df_et") >= support), "pairs")
-    set_bits = pairs.select((F.col("t").bitwiseAND(BUCKETS - 1)).cast("int").alias("x")).distinct().collect()  # at most BUCKETS
-    buckets = np.zeros(BUCKETS, bool)
-    buckets[[r["x"] for r in set_bits]] = True
+    pairs = written(near.select("rk", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("df_et")), "pairs")
     every = found.filter("row = 'd'").select("rk", "doc_id", "base")
-    if not set_bits:
-        return every.withColumn("terms", F.array().cast("array<struct<a:int,b:int>>"))
     total = float(every.count())
-    df_t = term_counts(rows, buckets)
+    df_t = term_counts(rows, bitmap(pairs))
     df_e = found.filter("row = 'e'").select("rk", "e").distinct().groupBy("e").agg(F.count("*").alias("df_e"))
-    pmi = F.log2(F.col("df_et") * total / (F.col("df_e") * F.col("df_t")))
-    content = -F.log2(F.col("df_e") / total)
-    telling = pairs.join(df_e, "e").join(df_t, "t").filter((content > 0) & (pmi >= disclosure * content)).select("e", "t")
+    share = F.col("df_e") / total
+    bits = F.log2((F.col("df_et") + prior * share) / (F.col("df_t") + prior) / share)
+    content = -F.log2(share)
+    telling = pairs.join(df_e, "e").join(df_t, "t").filter((content > 0) & (bits >= disclosure * content)).select("e", "t")
     terms = near.join(telling, ["e", "t"]).groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("terms"))
     return every.join(terms, "rk", "left").select("rk", "doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<a:int,b:int>>")).alias("terms"))
 

@@ -135,6 +135,14 @@ def test_pii_terms(spark):
     assert clean[0] == ("common words here [TERM] secret0 mail [EMAIL] now", 49) and clean[44] == (None, 0)
 
 
+def test_pii_terms_of_rare_values(spark):
+    # one document has the value; two share the domain, and a word with it
+    texts = ["call Zanzibar of the ann@one.example today", "call Ruritania of the bob@two.example today", "call Ruritania of the eve@two.example today"] + ["call today of the day"] * 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][a:b] for a, b in r["terms"]] for r in pii.spans_of(docs).collect()}
+    assert {i: x for i, x in found.items() if x} == {0: ["Zanzibar"], 1: ["Ruritania"], 2: ["Ruritania"]}
+
+
 # --- op3
 
 
