@@ -1,14 +1,15 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the words that give them away.
 
 Base spans (email, ip, card, phone) are protected entities: each value, and each class of values (an e-mail's domain, an ip's first three
-parts, a card's first six digits, a phone's first five). Words near a span are candidate terms. Over all documents, df(e) counts those
-with an entity, df(t) those with a term, df(e, t) those where t stands near e. With N documents and p = df(e) / N, a term
+parts, a card's first six digits, a phone's first five). All words with a letter or digit are candidate terms. Over all documents, df(e)
+counts those with an entity, df(t) those with a term, df(e, t) those with both. With N documents and p = df(e) / N, a term
 makes the entity as likely as P(e | t) = (df(e, t) + prior p) / (df(t) + prior), counts smoothed by `prior` documents that hold e at its
 usual rate. It reveals log2(P(e | t) / p) bits of the entity's information content -log2(p); at a share of
-`disclosure` or more the term is generalised next to that entity too. No count is too small: values of one document take part.
+`disclosure` or more the term is generalised wherever it stands, in all documents. No count is too small: values of one document take part.
 
-Only terms of some pair are counted: which they are is kept in a bitmap of 2**26 hashes, a size that no corpus
-changes; what shares a bit is counted in vain, never wrongly.
+df(e, t) is at most df(e), so a term in more than (df(e) + prior p) / p**(1 - disclosure) - prior documents can't reveal e: such pairs
+aren't formed. Only terms of documents with an entity are counted, and only revealing ones are looked for in the second scan: which
+they are is kept in bitmaps of 2**26 hashes, a size that no corpus changes; what shares a bit is counted, or joined, in vain, never wrongly.
 """
 
 import re
@@ -18,10 +19,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.shared import written
+from plinth.llm.shared import Generations, written
 
 KINDS = ("email", "ip", "card", "phone")
 BITS = 1 << 26
@@ -32,6 +34,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"\S+")
+_WORD = re.compile(r"[^\W_]")
 _HASH = lambda s: xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
@@ -80,46 +83,45 @@ def entities(kind: str, value: str) -> list[int]:
     return [_HASH(f"{kind}:{value}"), _HASH(f"{kind}/{group}")]
 
 
-def near_terms(text: str, start: int, end: int, words: int) -> list[tuple[str, int, int]]:
-    """Up to `words` words with letters, of four characters or more, on each side of a span; at most 64 characters a word away are read."""
-    a, b = max(0, start - 64 * words), min(len(text), end + 64 * words)
-    left = [(m.start() + a, m.end() + a) for m in _TERM.finditer(text[a:start])][-words:]
-    right = [(m.start() + end, m.end() + end) for m in _TERM.finditer(text[end:b])][:words]
-    if left and (left[0][0] == a > 0 and not text[a - 1].isspace()):
-        left = left[1:]
-    if right and right[-1][1] == b < len(text) and not text[b].isspace():
-        right = right[:-1]
-    if left and left[-1][1] == start:
-        left = left[:-1]
-    if right and right[0][0] == end:
-        right = right[1:]
-    return [(text[x:y], x, y) for x, y in left + right if y - x >= 4 and any(c.isalpha() for c in text[x:y])]
+def terms_of(text: str, spans) -> list[tuple[str, int, int]]:
+    """Words with a letter or digit that overlap no span."""
+    out, ends = [], sorted((x, y) for _, x, y in spans)
+    k, reach = 0, 0  # all spans that start before a word's end: the furthest end
+    for m in _TERM.finditer(text):
+        while k < len(ends) and ends[k][0] < m.end():
+            reach = max(reach, ends[k][1])
+            k += 1
+        if reach <= m.start() and _WORD.search(m[0]):
+            out.append((m[0], m.start(), m.end()))
+    return out
 
 
-FOUND = "row string, rk long, doc_id long, base string, e long, t long, a int, b int"
+FOUND = "row string, no long, rk long, doc_id long, base string, h long"
 
 
 def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find(rows: DataFrame, words: int) -> DataFrame:
-    """Row 'd' for each document with its base spans, rows 'w' for words near entities."""
+def find(rows: DataFrame) -> DataFrame:
+    """Row 'd' for each document with its base spans; for those with any, rows 'e' for entities and 't' for terms (h: hash), once a document.
+
+    no numbers the documents; repeated ones have one each.
+    """
     names = [c.split()[0] for c in FOUND.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches):
+        no = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
             for rk, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                text = text or ""
+                text, no = text or "", no + 1
                 spans = base_spans(text)
-                out.append(("d", rk, doc, _joined(spans), None, None, None, None))
-                for kind, s, e in spans:
-                    near = [(_HASH(term), a, b) for term, a, b in near_terms(text, s, e, words) if not any(a < y and x < b for _, x, y in spans)]
-                    for entity in entities(kind, text[s:e]):
-                        out.append(("e", rk, doc, None, entity, None, None, None))
-                        out += [("w", rk, doc, None, entity, *x) for x in near]
+                out.append(("d", no, rk, doc, _joined(spans), None))
+                if spans:
+                    out += [("e", no, None, None, None, h) for h in {h for kind, s, e in spans for h in entities(kind, text[s:e])}]
+                    out += [("t", no, None, None, None, _HASH(w)) for w in {w for w, _, _ in terms_of(text, spans)}]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
@@ -146,9 +148,8 @@ def term_counts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
         counts: dict[str, int] = {}
 
         def flush():
-            words = [w for w in counts if len(w) >= 4]
-            h = np.array([_HASH(w) for w in words], np.int64)
-            n = np.array([counts[w] for w in words], np.int64)
+            h = np.array([_HASH(w) for w in counts], np.int64)
+            n = np.array(list(counts.values()), np.int64)
             take = _in_bitmap(bits, h)
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(n[take])], ["t", "n"])
@@ -164,25 +165,46 @@ def term_counts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     return rows.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("df_t"))
 
 
-def spans_of(docs: DataFrame, words: int = 5, prior: float = 1.0, disclosure: float = 0.8) -> DataFrame:
+def places(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(rk, t, a, b): the words of all texts whose bit is set, outside base spans."""
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def run(batches):
+        known = Generations(lambda w: bool(_in_bitmap(bits, np.array([_HASH(w)]))[0]), 200_000)
+        for batch in batches:
+            out = []
+            for rk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text and any(known[w] for w in set(text.split())):
+                    out += [(rk, _HASH(w), a, b) for w, a, b in terms_of(text, base_spans(text)) if known[w]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["rk", "t", "a", "b"])
+
+    return rows.select("rk", "text").mapInArrow(run, "rk long, t long, a int, b int")
+
+
+def spans_of(docs: DataFrame, prior: float = 1.0, disclosure: float = 0.8) -> DataFrame:
     """(rk, doc_id, base, terms) of each row of docs (doc_id, text): base spans as kind:start:end, and an array of (a, b) of revealing terms.
 
     Null texts are empty; repeated rows each give a row and count as documents each; an empty table gives no rows. rk is
     xxhash64(doc_id, text). A term's span never overlaps a base span.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
-    found = written(find(rows, words), "spans")
-    near = found.filter("row = 'w'").select("rk", "e", "t", "a", "b")
-    pairs = written(near.select("rk", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("df_et")), "pairs")
+    found = written(find(rows), "spans")
     every = found.filter("row = 'd'").select("rk", "doc_id", "base")
     total = float(every.count())
-    df_t = term_counts(rows, bitmap(pairs))
-    df_e = found.filter("row = 'e'").select("rk", "e").distinct().groupBy("e").agg(F.count("*").alias("df_e"))
+    held = found.filter("row = 'e'").select("no", F.col("h").alias("e"))
+    near = found.filter("row = 't'").select("no", F.col("h").alias("t"))
     share = F.col("df_e") / total
+    df_e = held.groupBy("e").agg(F.count("*").alias("df_e")).filter(F.col("df_e") < total)
+    most = (F.col("df_e") + prior * share) / F.pow(share, F.lit(1 - disclosure)) - prior + 1e-6
+    df_e = written(df_e.withColumn("most", most), "entities")
+    limit = df_e.agg(F.max("most")).first()[0] or 0.0
+    df_t = written(term_counts(rows, bitmap(near)).filter(F.col("df_t") <= limit), "counts")
+    pairs = near.join(df_t, "t").join(held.join(df_e, "e"), "no").filter(F.col("df_t") <= F.col("most"))
+    pairs = pairs.groupBy("e", "t", "df_e", "df_t").agg(F.count("*").alias("df_et"))
     bits = F.log2((F.col("df_et") + prior * share) / (F.col("df_t") + prior) / share)
-    content = -F.log2(share)
-    telling = pairs.join(df_e, "e").join(df_t, "t").filter((content > 0) & (bits >= disclosure * content)).select("e", "t")
-    terms = near.join(telling, ["e", "t"]).groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("terms"))
+    telling = written(pairs.filter(bits >= disclosure * -F.log2(share)).select("t").distinct(), "telling")
+    terms = places(rows, bitmap(telling)).join(telling, "t").groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("terms"))
     return every.join(terms, "rk", "left").select("rk", "doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<a:int,b:int>>")).alias("terms"))
 
 

@@ -143,6 +143,16 @@ def test_pii_terms_of_rare_values(spark):
     assert {i: x for i, x in found.items() if x} == {0: ["Zanzibar"], 1: ["Ruritania"], 2: ["Ruritania"]}
 
 
+def test_pii_terms_everywhere(spark):
+    # six words away, short, and in a document without the entity
+    texts = [f"Zanzibar one two six ten of the day and xq boss{i}@corp.example now" for i in range(9)] + ["they saw Zanzibar on xq"] + ["one two six ten of the day and now they saw on"] * 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][a:b] for a, b in r["terms"]] for r in pii.spans_of(docs).collect()}
+    assert {i: x for i, x in found.items() if x} == {i: ["Zanzibar", "xq"] for i in range(10)}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[9] == "they saw [TERM] on [TERM]" and clean[10] == texts[10]
+
+
 # --- op3
 
 
