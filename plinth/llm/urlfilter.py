@@ -3,8 +3,8 @@
 Trust is a personalised PageRank from hosts with pages that rules allow, along links between hosts; distrust is one
 from hosts with blocked pages, along the same links reversed (who links to a blocked host inherits its distrust). Both
 run as one propagation over (kind, host) keys: a join with the normalised edges and a sum, a fixed number of times. A
-host is blocked where its distrust exceeds `ratio` times its trust by more than `floor`; hosts that no mass reaches are
-allowed. Edges and seeds are aggregated per host pair and host before anything is joined, so a hot host costs a row.
+host is blocked where its distrust exceeds `ratio` times its trust, both being shares of their seeds' mass, by more than rounding
+(TOLERANCE of it), however small they are; hosts that no mass reaches are allowed. Edges and seeds are aggregated per host pair and host before anything is joined, so a hot host costs a row.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MOST_RULES = 1000
+#: Relative: a table's size changes the ranks, not their ratio.
+TOLERANCE = 1e-6
 
 
 def host_of(url: Column) -> Column:
@@ -68,7 +70,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return rank.groupBy("host").agg(part("t").alias("trust"), part("d").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, floor: float = 1e-9, rounds: int = 8) -> DataFrame:
+def by_links(edges: DataFrame, seeds: DataFrame, ratio: float = 1.0, **options) -> DataFrame:
+    """(host, trust, distrust, by_links: block or allow)."""
+    blocked = F.col("distrust") > F.col("trust") * (ratio * (1 + TOLERANCE))
+    return propagate(edges, seeds, **options).withColumn("by_links", F.when(blocked, "block").otherwise("allow"))
+
+
+def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int = 8) -> DataFrame:
     """pages (page_id, url, html) with host, path, rule, verdict, trust and distrust.
 
     Null urls have an empty host and path, fit no rule and are allowed. Null html has no links. Repeated rows are
@@ -77,8 +85,7 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, floor: float = 1e-9
     base = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     base = base.withColumn("m", matching_rule(F.col("host"), F.col("path"), rules))
     seeds = base.filter("m IS NOT NULL").groupBy("host").agg(F.sum((F.col("m.verdict") == "allow").cast("long")).alias("trust"), F.sum((F.col("m.verdict") == "block").cast("long")).alias("distrust"))
-    hosts = propagate(host_edges(base), seeds, rounds=rounds)
-    hosts = hosts.select("host", "trust", "distrust", F.when(F.col("distrust") > F.col("trust") * ratio + floor, "block").otherwise("allow").alias("by_links"))
+    hosts = by_links(host_edges(base), seeds, ratio, rounds=rounds)
     known = base.select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("verdict"))
     return known.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "by_links", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 

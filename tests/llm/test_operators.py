@@ -367,6 +367,14 @@ def test_url_filters(spark, sf):
     assert "Python" not in plan and "Cartesian" not in plan
 
 
+def test_url_verdicts_of_tiny_shares(spark):
+    # one of a thousand hosts that link to a host with one of a million blocked pages
+    edges = spark.createDataFrame([(f"h{i}.net", "spam.org", 1) for i in range(1000)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("spam.org", 0, 1), ("big.org", 0, 999_999), ("good.org", 5, 0)], "host string, trust long, distrust long")
+    got = {r["host"]: r["by_links"] for r in urlfilter.by_links(edges, seeds).collect()}
+    assert {got[f"h{i}.net"] for i in range(1000)} == {"block"} and got["good.org"] == "allow"
+
+
 # --- op8
 
 
