@@ -2,8 +2,9 @@
 
 Trust is a personalised PageRank from hosts with pages that rules allow, along links between hosts; distrust is one
 from hosts with blocked pages, along the same links reversed (who links to a blocked host inherits its distrust). Both
-run as one propagation over (kind, host) keys: a join with the normalised edges and a sum, a fixed number of times. A
-host is blocked where its distrust exceeds `ratio` times its trust, both being shares of their seeds' mass, by more than rounding
+run as one propagation over (kind, host) keys: a join with the normalised edges and a sum, repeated until no rank grows by more than
+TOLERANCE of itself in STEPS rounds. A host's links to itself are solved for in its own row, so they take no rounds; ranks only grow, so
+a host that mass reaches late, or little of it, is waited for as well. A host is blocked where its distrust exceeds `ratio` times its trust, both being shares of their seeds' mass, by more than rounding
 (TOLERANCE of it), however small they are; hosts that no mass reaches are allowed. Edges and seeds are aggregated per host pair and host before anything is joined, so a hot host costs a row.
 """
 
@@ -19,6 +20,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MOST_RULES = 1000
 #: Relative: a table's size changes the ranks, not their ratio.
 TOLERANCE = 1e-6
+#: Rounds in a plan: then the ranks are written and compared with the last written ones.
+STEPS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -54,18 +57,30 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return own.unionByName(away).filter((F.col("dst") != "") & (F.col("n") > 0)).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
-    """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trust, distrust: counts)."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85) -> DataFrame:
+    """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trust, distrust: counts).
+
+    The ranks r = (1 - damping) s + damping W r, by Jacobi rounds from below: each rank without its own loop, over 1 - damping w(loop).
+    """
     both = edges.select(F.lit("t").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    total = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    steps = written(both.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("w")), "edges")
+    total = both.groupBy("kind", "src").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("n")).otherwise(0)).alias("own"))
+    total = written(total.select("kind", F.col("src").alias("host"), "total", (1 - F.lit(damping) * F.col("own") / F.col("total")).alias("rest")), "totals")
+    ends = total.select("kind", F.col("host").alias("dst"), "rest")
+    steps = both.filter("src <> dst").withColumnRenamed("src", "host").join(total.select("kind", "host", "total"), ["kind", "host"]).join(ends, ["kind", "dst"], "left")
+    steps = written(steps.select("kind", "host", "dst", (F.lit(damping) * F.col("n") / F.col("total") / F.coalesce("rest", F.lit(1.0))).alias("w")), "edges")
     mass = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()  # one row
     start = seeds.select(F.explode(F.array(F.struct(F.lit("t").alias("kind"), "host", (F.col("trust") / F.lit(float(mass["t"] or 1))).alias("s")), F.struct(F.lit("d").alias("kind"), "host", (F.col("distrust") / F.lit(float(mass["d"] or 1))).alias("s")))).alias("x")).select("x.*").filter("s > 0")
-    start = written(start, "seeds")
-    rank = start.withColumnRenamed("s", "r")
-    for _ in range(rounds):
-        moved = rank.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("r") * F.col("w") * F.lit(damping)).alias("r"))
-        rank = moved.unionByName(start.select("kind", "host", (F.col("s") * F.lit(1 - damping)).alias("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
+    start = start.join(total.select("kind", "host", "rest"), ["kind", "host"], "left")
+    start = written(start.select("kind", "host", (F.col("s") * F.lit(1 - damping) / F.coalesce("rest", F.lit(1.0))).alias("r")), "seeds")
+    rank, moving = start, True
+    while moving:
+        last = rank
+        for _ in range(STEPS):
+            moved = rank.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("r") * F.col("w")).alias("r"))
+            rank = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("r").alias("r"))
+        rank = written(rank, "ranks")
+        old = last.select("kind", "host", F.col("r").alias("old"))
+        moving = not rank.join(old, ["kind", "host"], "left").filter(F.col("r") - F.coalesce("old", F.lit(0.0)) > TOLERANCE * F.col("r")).isEmpty()
     part = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0))
     return rank.groupBy("host").agg(part("t").alias("trust"), part("d").alias("distrust"))
 
@@ -76,7 +91,7 @@ def by_links(edges: DataFrame, seeds: DataFrame, ratio: float = 1.0, **options)
     return propagate(edges, seeds, **options).withColumn("by_links", F.when(blocked, "block").otherwise("allow"))
 
 
-def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int = 8) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0) -> DataFrame:
     """pages (page_id, url, html) with host, path, rule, verdict, trust and distrust.
 
     Null urls have an empty host and path, fit no rule and are allowed. Null html has no links. Repeated rows are
@@ -85,7 +100,7 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0, rounds: int = 8) ->
     base = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     base = base.withColumn("m", matching_rule(F.col("host"), F.col("path"), rules))
     seeds = base.filter("m IS NOT NULL").groupBy("host").agg(F.sum((F.col("m.verdict") == "allow").cast("long")).alias("trust"), F.sum((F.col("m.verdict") == "block").cast("long")).alias("distrust"))
-    hosts = by_links(host_edges(base), seeds, ratio, rounds=rounds)
+    hosts = by_links(host_edges(base), seeds, ratio)
     known = base.select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("verdict"))
     return known.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "by_links", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 

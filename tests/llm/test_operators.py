@@ -375,6 +375,22 @@ def test_url_verdicts_of_tiny_shares(spark):
     assert {got[f"h{i}.net"] for i in range(1000)} == {"block"} and got["good.org"] == "allow"
 
 
+def test_url_ranks_settle(spark):
+    # a chain of 20 hosts to a blocked one, with a loop and a cycle on the way
+    links = [(f"h{i}", f"h{i + 1}", 1) for i in range(20)] + [("h3", "h3", 2), ("h9", "h5", 1)]
+    edges = spark.createDataFrame(links, "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h20", 0, 3), ("h0", 2, 0)], "host string, trust long, distrust long")
+    got = {r["host"]: r for r in urlfilter.by_links(edges, seeds).collect()}
+    assert len(got) == 21 and got["h1"]["distrust"] > 0 and got["h19"]["by_links"] == "block"
+    for kind, pairs, seed in (("trust", links, "h0"), ("distrust", [(b, a, n) for a, b, n in links], "h20")):
+        w, s = np.zeros((21, 21)), np.zeros(21)
+        for a, b, n in pairs:
+            w[int(b[1:]), int(a[1:])] = n
+        w /= np.maximum(w.sum(axis=0), 1)
+        s[int(seed[1:])] = 0.15
+        assert np.allclose([got[f"h{i}"][kind] for i in range(21)], np.linalg.solve(np.eye(21) - 0.85 * w, s), rtol=1e-5, atol=0)
+
+
 # --- op8
 
 
