@@ -118,15 +118,21 @@ def expected(word: str, weight: float, known: dict[str, int], longest: int, prob
             counts[at] = counts.get(at, 0.0) + weight * f[start] * p * b[end] / f[size]
 
 
+def sample_of(labelled: DataFrame, most_docs: int) -> DataFrame:
+    """(text, lang): at most about most_docs rows of labelled (doc_id, text, lang), chosen by a hash of doc_id and text."""
+    rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)).alias("h"))
+    n = labelled.filter("lang IS NOT NULL").count()
+    if n > most_docs:
+        rows = rows.filter(F.col("h") < int((1 << 20) * most_docs / n))
+    return rows.select("text", "lang")
+
+
 def fit(train: DataFrame, vocabulary: str, most_docs: int = 8_000, rounds: int = 2, smoothing: float = 0.05) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities (pieces x languages) from rows (doc_id, text, lang).
 
-    At most about most_docs rows, chosen by a hash of doc_id and text, are used. No rows: no languages.
+    Those that sample_of takes are used. No rows: no languages.
     """
-    rows = train.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)).alias("h"))
-    n = train.filter("lang IS NOT NULL").count()
-    if n > most_docs:
-        rows = rows.filter(F.col("h") < int((1 << 20) * most_docs / n))
+    rows = sample_of(train, most_docs)
 
     def count(batches):
         for batch in batches:
@@ -136,7 +142,7 @@ def fit(train: DataFrame, vocabulary: str, most_docs: int = 8_000, rounds: int =
                     counts[lang, w] = counts.get((lang, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
-    sample = written(rows.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    sample = written(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = sorted(r["lang"] for r in sample.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -185,7 +191,9 @@ class Scorer:
         get = self.at.__getitem__
         return [self.rows[list(map(get, p))].sum(axis=0) for p in parts]
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, int]]:
+        """Language, posterior, log-probability per character under that language, and the number of characters, word marks included."""
+        sizes = [0] * len(texts)
         totals: list[np.ndarray | None] = [None] * len(texts)
         held: list[tuple[int, list[str]]] = []
         room = CACHE // 2
@@ -198,6 +206,7 @@ class Scorer:
         used = 0
         for k, text in enumerate(texts):
             found = words(text) if text and self.langs else []
+            sizes[k] = sum(map(len, found)) + len(found)
             for i in range(0, len(found), room):
                 part = found[i : i + room]
                 if used + len(part) > CACHE:
@@ -207,36 +216,44 @@ class Scorer:
                 used += len(part)
         settle()
         out = []
-        for x in totals:
+        for x, n in zip(totals, sizes):
             if x is None:
-                out.append(("und", 0.0))
+                out.append(("und", 0.0, None, 0))
             else:
                 best = int(np.argmax(x))
-                out.append((self.langs[best], float(1 / np.exp(x - x[best]).sum())))
+                out.append((self.langs[best], float(1 / np.exp(x - x[best]).sum()), float(x[best]) / n, n))
         return out
 
 
-def identify(docs: DataFrame, train: DataFrame, vocabulary: str, **options) -> DataFrame:
-    """docs, all columns, with _lang_pred and _lang_score (posterior of the best language, languages equally likely before).
+def scored(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str) -> DataFrame:
+    """docs, all columns, with _lang_pred, _lang_score, _lang_fit (log-probability per character) and _lang_chars, see Scorer.predict.
 
-    Null texts, texts without a letter, and all texts if there is no training row, are `und` with score 0. Ties go to the
-    first language by name. The model (vocabulary x languages) is what goes to the executors; documents don't shuffle.
+    The model (vocabulary x languages) is what goes to the executors; documents don't shuffle.
     """
     from pyspark.sql import types as T
 
-    langs, probs = fit(train, vocabulary, **options)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, probs))  # at most pieces x MOST_LANGUAGES numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most pieces x MOST_LANGUAGES numbers
     at = docs.columns.index("text")
+    added = {"_lang_pred": (pa.string(), T.StringType()), "_lang_score": (pa.float64(), T.DoubleType()), "_lang_fit": (pa.float64(), T.DoubleType()), "_lang_chars": (pa.int64(), T.LongType())}
 
     def run(batches):
         s = Scorer(vocabulary, *shared.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                found = s.predict(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*batch.schema.names, "_lang_pred", "_lang_score"])
+                found = zip(*s.predict(part.column(at).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, t) for x, (t, _) in zip(found, added.values()))], [*batch.schema.names, *added])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, (_, t) in added.items())]))
+
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]))
+def identify(docs: DataFrame, train: DataFrame, vocabulary: str, **options) -> DataFrame:
+    """docs, all columns, with _lang_pred and _lang_score (posterior of the best language, languages equally likely before).
+
+    Null texts, texts without a letter, and all texts if there is no training row, are `und` with score 0. Ties go to the
+    first language by name.
+    """
+    return scored(docs, fit(train, vocabulary, **options), vocabulary).drop("_lang_fit", "_lang_chars")
 
 
 def training(documents: DataFrame) -> DataFrame:
@@ -244,10 +261,32 @@ def training(documents: DataFrame) -> DataFrame:
     return documents.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).filter("lang IS NOT NULL")
 
 
-def accepted(docs: DataFrame, vocabulary: str, least_score: float = 0.5) -> DataFrame:
-    """docs, all columns, without texts that are of no language or of a doubtful one."""
-    out = identify(docs, training(docs), vocabulary)
-    return out.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least_score)).select(*docs.columns)
+def held_out(documents: DataFrame) -> DataFrame:
+    """Labelled rows that aren't learnt from."""
+    return documents.filter(F.crc32(F.col("doc_id").cast("string")) % 3 == 1).filter("lang IS NOT NULL")
+
+
+def usual_fit(held: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, most_docs: int = 8_000) -> dict[str, float]:
+    """The median log-probability per character of each language's held-out texts; for languages without any, the lowest of the others."""
+    rows = scored(sample_of(held, most_docs), model, vocabulary).filter("_lang_pred = lang")
+    found = dict(tuple(r) for r in rows.groupBy("_lang_pred").agg(F.percentile_approx("_lang_fit", 0.5, 1000)).collect())  # a row a language
+    return {k: found.get(k, min(found.values())) for k in model[0]} if found else {}
+
+
+def accepted(docs: DataFrame, vocabulary: str, least_score: float = 0.5, worst_fit: float = 2.0, slack: float = 8.0) -> DataFrame:
+    """docs, all columns, without texts that are of no language, of a doubtful one, or of none that was learnt.
+
+    The posterior only says which language is best, so a text must also reach a log-probability per character of
+    worst_fit + slack / characters times what held-out texts of its language usually have; short texts vary more. Without held-out
+    texts nothing is known of that, and the posterior alone decides.
+    """
+    model = fit(training(docs), vocabulary)
+    usual = usual_fit(held_out(docs), model, vocabulary)
+    fits = F.lit(True)
+    if usual:
+        median = F.create_map(*(F.lit(x) for k in usual.items() for x in k))[F.col("_lang_pred")]
+        fits = F.col("_lang_fit") >= median * (worst_fit + slack / F.col("_lang_chars"))
+    return scored(docs, model, vocabulary).filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least_score) & fits).select(*docs.columns)
 
 
 def query(documents: DataFrame, vocabulary: str) -> DataFrame:

@@ -440,6 +440,15 @@ def test_language_id(spark, documents, awkward):
     assert {r["lang_pred"] for r in langid.query(awkward.withColumn("lang", F.lit(None).cast("string")), vocabulary("piece_bpe_32k.model")).collect()} == {"und"}
 
 
+def test_language_of_none_learnt(spark, documents):
+    r = random.Random(7)
+    odd = [" ".join("".join(r.choice(string.ascii_lowercase) for _ in range(r.randrange(3, 10))) for _ in range(20)) for _ in range(50)]
+    odd += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar"]
+    more = spark.createDataFrame([(90_000 + i, t, None, "s", len(t)) for i, t in enumerate(odd)], documents.schema)
+    kept = {r["doc_id"] for r in langid.accepted(documents.unionByName(more), vocabulary("piece_bpe_32k.model")).collect()}
+    assert kept == {r["doc_id"] for r in documents.collect()}
+
+
 def test_forward_sums_all_segmentations():
     path = vocabulary("piece_bpe_32k.model")
     known, longest = langid.pieces(path)
