@@ -6,6 +6,7 @@ probabilities; a text by the sum of its words' logarithms. Piece probabilities c
 words of a bounded sample of labelled training rows, on executors; what is collected is a table of vocabulary x languages.
 """
 
+import math
 import re
 from functools import lru_cache
 
@@ -118,12 +119,24 @@ def expected(word: str, weight: float, known: dict[str, int], longest: int, prob
             counts[at] = counts.get(at, 0.0) + weight * f[start] * p * b[end] / f[size]
 
 
+def quotas(counts: dict[str, int], most: int) -> dict[str, float]:
+    """What each may take of most in all: the same for each, but what small ones leave goes to the others."""
+    out, left = {}, float(most)
+    for i, k in enumerate(sorted(counts, key=lambda k: (counts[k], k))):
+        out[k] = min(float(counts[k]), left / (len(counts) - i))
+        left -= out[k]
+    return out
+
+
 def sample_of(labelled: DataFrame, most_docs: int) -> DataFrame:
-    """(text, lang): at most about most_docs rows of labelled (doc_id, text, lang), chosen by a hash of doc_id and text."""
+    """(text, lang): at most about most_docs rows of labelled (doc_id, text, lang) by quotas of the languages, chosen by a hash of doc_id and text."""
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)).alias("h"))
-    n = labelled.filter("lang IS NOT NULL").count()
-    if n > most_docs:
-        rows = rows.filter(F.col("h") < int((1 << 20) * most_docs / n))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if sum(counts.values()) > most_docs:
+        below = {k: math.ceil((1 << 20) * q / counts[k]) for k, q in quotas(counts, most_docs).items()}
+        rows = rows.filter(F.col("h") < F.create_map(*(F.lit(x) for k in below.items() for x in k))[F.col("lang")])
     return rows.select("text", "lang")
 
 
@@ -143,9 +156,7 @@ def fit(train: DataFrame, vocabulary: str, most_docs: int = 8_000, rounds: int =
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
     sample = written(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    langs = sorted(r["lang"] for r in sample.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # at most MOST_LANGUAGES
     known, _ = pieces(vocabulary)
     probs = np.full((len(known), len(langs)), 1 / len(known))
     number = {x: i for i, x in enumerate(langs)}

@@ -449,6 +449,14 @@ def test_language_of_none_learnt(spark, documents):
     assert kept == {r["doc_id"] for r in documents.collect()}
 
 
+def test_rare_languages_are_learnt(spark):
+    rows_ = [(i, f"the and {i}", "en") for i in range(20_000)] + [(50_000 + i, "und der die", "de") for i in range(3)] + [(None, None, "xx")]
+    train = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    taken = Counter(r["lang"] for r in langid.sample_of(train, 200).collect())
+    assert taken["de"] == 3 and 140 < taken["en"] < 260 and set(taken) == {"de", "en"}
+    assert langid.quotas({"a": 5, "b": 1000, "c": 90}, 105) == {"a": 5, "c": 50, "b": 50}
+
+
 def test_forward_sums_all_segmentations():
     path = vocabulary("piece_bpe_32k.model")
     known, longest = langid.pieces(path)
