@@ -65,7 +65,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as listed, then start."""
     out = [("email", a, b) for a, b in emails(text)]
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) < 500 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(d) <= 3 and int(d or 0) <= 255 for d in (p.lstrip("0") for p in m[0].split(".")))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):

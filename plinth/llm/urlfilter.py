@@ -16,6 +16,8 @@ from plinth.llm.shared import written
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: A value in double or single quotes, which may hold the other quote, or without.
+_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"#][^"]*"|'[^'#][^']*'|[^\s"'>#][^\s>]*)"""
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MOST_RULES = 1000
 #: Relative: a table's size changes the ranks, not their ratio.
@@ -47,7 +49,8 @@ def matching_rule(host: Column, path: Column, rules) -> Column:
 
 def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     """(src, dst, n) of links in pages with a column host; relative links lead to the page's own host."""
-    links = F.array_distinct(F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'#][^"']*)["']"""), 1))
+    values = F.regexp_extract_all(html, F.lit(_HREF), 1)
+    links = F.array_distinct(F.transform(values, lambda x: F.when(x.rlike("^[\"']"), F.substr(x, F.lit(2), F.char_length(x) - 2)).otherwise(x)))
     target = F.when(F.col("link").startswith("//"), host_of(F.concat(F.lit("http:"), F.col("link")))).when(F.col("link").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), host_of(F.col("link"))).when(F.col("link").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit("")).otherwise(F.col("host"))
     # relative links are counted in the row: only absolute ones are exploded
     outside = F.filter("links", lambda x: x.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)"))

@@ -153,6 +153,11 @@ def test_pii_terms_everywhere(spark):
     assert clean[9] == "they saw [TERM] on [TERM]" and clean[10] == texts[10]
 
 
+def test_pii_long_ip_parts():
+    text = "0" * 600 + "10.0.000.255 and 1.2.3." + "9" * 600
+    assert pii.base_spans(text) == [("ip", 0, 612)]
+
+
 # --- op3
 
 
@@ -391,6 +396,12 @@ def test_url_ranks_settle(spark):
         assert np.allclose([got[f"h{i}"][kind] for i in range(21)], np.linalg.solve(np.eye(21) - 0.85 * w, s), rtol=1e-5, atol=0)
 
 
+def test_href_quotes(spark):
+    html = """<a href=http://x.org/><a class=b href=http://y.org/p?q=1 id=z><a href="http://z.org/it's"><a href='http://w.org/"'><a href=#top><a href="#top"><a href="">"""
+    pages = spark.createDataFrame([("own.net", html)], "host string, html string")
+    assert rows(urlfilter.host_edges(pages), "src", "dst", "n") == [("own.net", f"{x}.org", 1) for x in "wxyz"]
+
+
 # --- op8
 
 
