@@ -2,10 +2,11 @@
 
 Texts are split at white space into words; the set of hashes of all runs of five words (of all words, if fewer) stands for a text.
 Rows with equal sets are one node. Signatures are cut into bands of rows; band and row counts are the cheapest that reach the
-target recall at the similarity threshold. Band hashes are shuffled, each bucket is linked as a star to its least node (a
-linear number of edges, never all pairs), and connected components of these stars hold every candidate pair.
-Each component is verified exactly: intersection sizes of full sets, by blocks of nodes, so that a component of any size is
-dealt to tasks of bounded memory. Links between different texts are all counted; classes are the components of verified links.
+target recall at the similarity threshold. Band hashes are shuffled; the least node of a bucket leads it, so a node has at most one
+leader a band and mostly few different ones. All buckets that a node leads are its star; nodes that share a band share a star.
+Each star is verified exactly: intersection sizes of full sets, by blocks of nodes of bounded number and length, so that a star of any
+size is dealt to tasks of bounded memory; no pair is emitted. A pair in several stars counts in the one of the least common leader.
+Links between different texts are all counted; classes are the components of verified links.
 """
 
 import itertools
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.shared import Generations, written
+from plinth.llm.shared import Generations, fresh, row_name, written
 
 WORDS = 150_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
@@ -100,13 +101,14 @@ def _signatures(rows: DataFrame, make) -> DataFrame:
                 bands.append(s.bands_of(x) if len(x) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["rk", "doc_id", "node", "check", "size", "bands"])
 
-    return rows.select("rk", "doc_id", "text").mapInArrow(run, "rk long, doc_id long, node long, check long, size int, bands array<long>")
+    return rows.select("rk", "doc_id", "text").mapInArrow(run, "rk binary, doc_id long, node long, check long, size int, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge list (a, b) with a <> b: root is the least node of its component.
 
     Alternates large-star and small-star steps; each round is a written table, so no lineage grows and nothing is collected.
+    Least neighbours are written too: their joins shuffle both sides, and Spark can split a hot node's edges.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     mark = None
@@ -116,9 +118,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = tuple(new)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = written(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").filter("a <> b").distinct()
         now = written(small, f"stars{turn}")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -151,10 +153,9 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 
 
 def _verified(members: DataFrame, make, threshold: float) -> DataFrame:
-    """(node, root, links) from rows (g, i, j, block, node, weight, text) sorted by g, i, j. A unit holds the nodes of two blocks."""
+    """(node, root, links) from rows (g, i, j, block, node, weight, leaders, text), dealt and sorted by g, i, j. A unit holds the nodes of two blocks."""
 
-    def unit(s, rows, i, j):
-        rows = list({r[1]: r for r in rows}.values())
+    def unit(rows, g, i, j):
         sets = [r[3] for r in rows]
         nodes, weights = [r[1] for r in rows], np.array([r[2] for r in rows])
         at = np.array([r[0] for r in rows])
@@ -162,6 +163,12 @@ def _verified(members: DataFrame, make, threshold: float) -> DataFrame:
         if not len(left) or not len(right):
             return []
         near = linked(sets, left, right, threshold)
+        before = {x: n for n, x in enumerate({x for r in rows for x in r[4] if x < g})}
+        if before:  # pairs that have a lesser leader in common count there
+            led = np.zeros((len(rows), len(before)), np.float32)
+            for n, r in enumerate(rows):
+                led[n, [before[x] for x in r[4] if x < g]] = 1
+            near &= led[left] @ led[right].T == 0
         if i == j:
             np.fill_diagonal(near, False)
         links = np.zeros(len(rows))
@@ -187,73 +194,77 @@ def _verified(members: DataFrame, make, threshold: float) -> DataFrame:
         return [(n, int(name[label[k]]), int(links[k])) for k, n in enumerate(nodes)]
 
     def run(batches):
-        s, at, held = make(), None, []
+        s, at, held = make(), None, {}
         out: list[tuple] = []
+        batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "root", "links"])
         for batch in batches:
-            for g, i, j, block, node, weight, text in zip(*(batch.column(c).to_pylist() for c in range(7))):
+            for g, i, j, block, node, weight, leaders, text in zip(*(batch.column(c).to_pylist() for c in range(8))):
                 if (g, i, j) != at:
                     if held:
-                        out += unit(s, held, at[1], at[2])
-                    at, held = (g, i, j), []
-                x = s.shingles(text)
-                if len(x) and s.node(x)[0] == node:
-                    held.append((block, node, weight, x))
+                        out += unit(list(held.values()), *at)
+                    at, held = (g, i, j), {}
+                if node not in held:  # rows that are repeated come each
+                    held[node] = (block, node, weight, s.shingles(text), leaders)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "root", "links"])
+                yield batch_of(out)
                 out = []
-        if held:
-            out = unit(s, held, at[1], at[2])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "root", "links"])
+        if held and (out := unit(list(held.values()), *at)):
+            yield batch_of(out)
 
-    return members.select("g", "i", "j", "block", "node", "weight", "text").mapInArrow(run, "node long, root long, links long")
+    return members.select("g", "i", "j", "block", "node", "weight", "leaders", "text").mapInArrow(run, "node long, root long, links long")
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 512, seed: int = 1) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 512, block_grams: int = 1 << 20, seed: int = 1) -> DataFrame:
     """(rk, doc_id, node, class_id, n_links) of each row of docs (doc_id, text).
 
     class_id is the least doc_id of the row's class, n_links the number of other rows whose n-gram sets have a Jaccard similarity of at
     least `threshold` with the row's (copies included). Null and empty texts and texts of white space have no n-grams: a class
-    each, no links. Null doc_ids stay null and give a null class_id only where a class has no other. rk is xxhash64(doc_id, text).
+    each, no links. Null doc_ids stay null and give a null class_id only where a class has no other. Repeated rows are rows of their
+    own. An empty table gives no rows. rk is a 128-bit name of (doc_id, text). A unit of verification holds two blocks of about `block`
+    nodes and block_grams n-grams each (or one longer text).
     """
     bands, per = banding(threshold, recall)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", row_name(F.col("doc_id"), F.col("text")))
     for attempt in itertools.count(seed):  # names of sets are 64 bits; a second name tells collisions, which another seed mends
         make = lambda attempt=attempt: Shingler(n, bands, per, attempt)
         signed = written(_signatures(rows, make), "signatures")
-        nodes = written(signed.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"), F.min("rk").alias("rk"), F.min("check").alias("low"), F.max("check").alias("high")), "nodes")
-        if not nodes.filter("low <> high").limit(1).count():
+        nodes = written(signed.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"), F.min("rk").alias("rk"), F.max("size").alias("size"), F.min("check").alias("low"), F.max("check").alias("high")), "nodes")
+        if nodes.filter("low <> high").isEmpty():
             break
     keys = signed.filter("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band", "least")
-    stars = keys.join(buckets, "band").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    parts = components(stars).withColumnRenamed("root", "g")
-    sizes = parts.groupBy("g").agg(F.count("*").alias("n")).select("g", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = written(parts.join(sizes, "g").join(nodes.select("node", "weight", "rk"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "candidates")
-    texts = rows.select("rk", "text").hint("merge").join(placed, "rk")  # neither side has a bound
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    units = texts.withColumn("p", F.explode(pairs)).select("g", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "node", "weight", "text")
-    units = units.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    links = written(_verified(units, make, threshold), "links")
+    buckets = written(keys.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("most")).filter("leader < most").select("band", "leader"), "buckets")
+    led = keys.join(buckets, "band").groupBy("node").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))  # at most a leader a band
+    placed = written(led.join(nodes.select("node", "weight", "rk", "size"), "node"), "candidates")
+    member = placed.select("node", "size", F.explode("leaders").alias("g"))
+    stars = written(member.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_grams)).cast("int").alias("blocks")), "stars")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct("g", F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"), "block"))
+    units = member.join(stars, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", pairs.alias("units"))
+    units = units.groupBy("node").agg(F.flatten(F.collect_list("units")).alias("units"))
+    where = written(placed.join(units, "node").select("rk", "node", "weight", "leaders", "units"), "units")
+    texts = rows.select("rk", "text").hint("merge").join(where, "rk")  # neither side has a bound
+    dealt = texts.select("node", "weight", "leaders", "text", F.explode("units").alias("u")).select("u.*", "node", "weight", "leaders", "text").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    links = written(_verified(dealt, make, threshold), "links")
     tied = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "weight").join(tied, "node", "left").join(counted, "node", "left").select("node", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    known = nodes.select("node", "weight").join(tied, "node", "left").join(counted, "node", "left")
+    known = written(known.select("node", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "known")
     full = signed.select("rk", "doc_id", "node").join(known, "node", "left")
-    classes = full.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least_id"))
+    classes = written(full.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least_id")), "least_ids")
     return full.join(classes, "root", "left").select("rk", "doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, without all but one row of each class: the least doc_id (nulls last), then rk, stays."""
-    found = written(join(docs, **options), "classes")
-    many = found.filter("n_links > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("keep"))
-    gone = found.filter("n_links > 0").join(many, "root").filter("rk <> keep.rk").select(F.col("rk").alias("_plinth_rk")).distinct()
-    keyed = docs.withColumn("_plinth_rk", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    kept = keyed.hint("merge").join(gone, "_plinth_rk", "left_anti")
-    if found.filter("n_links > 0").groupBy("rk").count().filter("count > 1").limit(1).count():  # the same row more than once
-        twice = found.filter("n_links > 0").select(F.col("rk").alias("_plinth_rk")).distinct()
-        kept = kept.join(twice, "_plinth_rk", "left_anti").unionByName(kept.join(twice, "_plinth_rk", "left_semi").dropDuplicates(["_plinth_rk"]))
-    return kept.select(*docs.columns)
+    """docs, all columns, without all but one row of each class: the least doc_id (nulls last), then rk, stays. Rows without n-grams all stay."""
+    linked_rows = written(join(docs, **options), "classes").filter("n_links > 0")
+    many = written(linked_rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("keep")), "kept")
+    name = fresh("rk", docs)
+    gone = linked_rows.join(many, "root").filter("rk <> keep.rk").select(F.col("rk").alias(name)).distinct()
+    keyed = docs.withColumn(name, row_name(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    kept = keyed.hint("merge").join(gone, name, "left_anti")
+    twice = written(linked_rows.groupBy("rk").count().filter("count > 1").select(F.col("rk").alias(name)), "repeated_rows")
+    if not twice.isEmpty():  # the same row more than once
+        kept = kept.join(twice, name, "left_anti").unionByName(kept.join(twice, name, "left_semi").dropDuplicates([name]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(documents: DataFrame) -> DataFrame:

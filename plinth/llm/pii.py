@@ -23,13 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.shared import Generations, written
+from plinth.llm.shared import Generations, fresh, row_name, written
 
 KINDS = ("email", "ip", "card", "phone")
 BITS = 1 << 26
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: Digits and single dots; four parts each, from the left, are what the pattern of an ip takes.
+_PARTS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -61,11 +62,24 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ips(text: str) -> list[tuple[int, int]]:
+    """As leftmost matches of four parts give, those with a part above 255 dropped. Linear: each run of digits and dots is taken once."""
+    out = []
+    for m in _PARTS.finditer(text):
+        at, parts = m.start(), m[0].split(".")
+        for i in range(0, len(parts) - 3, 4):
+            end = at + sum(map(len, parts[i : i + 4])) + 3
+            if all(len(d) <= 3 and int(d or 0) <= 255 for d in (p.lstrip("0") for p in parts[i : i + 4])):
+                out.append((at, end))
+            at = end + 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as listed, then start."""
     out = [("email", a, b) for a, b in emails(text)]
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(d) <= 3 and int(d or 0) <= 255 for d in (p.lstrip("0") for p in m[0].split(".")))]
+        out += [("ip", a, b) for a, b in ips(text)]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -96,7 +110,7 @@ def terms_of(text: str, spans) -> list[tuple[str, int, int]]:
     return out
 
 
-FOUND = "row string, no long, rk long, doc_id long, base string, h long"
+FOUND = "row string, no long, rk binary, doc_id long, base string, h long"
 
 
 def _joined(spans) -> str:
@@ -109,7 +123,7 @@ def find(rows: DataFrame) -> DataFrame:
     no numbers the documents; repeated ones have one each.
     """
     names = [c.split()[0] for c in FOUND.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    types = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches):
         no = TaskContext.get().partitionId() << 40
@@ -167,7 +181,7 @@ def term_counts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
 
 def places(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     """(rk, t, a, b): the words of all texts whose bit is set, outside base spans."""
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    types = [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
         known = Generations(lambda w: bool(_in_bitmap(bits, np.array([_HASH(w)]))[0]), 200_000)
@@ -179,16 +193,16 @@ def places(rows: DataFrame, bits: np.ndarray) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["rk", "t", "a", "b"])
 
-    return rows.select("rk", "text").mapInArrow(run, "rk long, t long, a int, b int")
+    return rows.select("rk", "text").mapInArrow(run, "rk binary, t long, a int, b int")
 
 
 def spans_of(docs: DataFrame, prior: float = 1.0, disclosure: float = 0.8) -> DataFrame:
     """(rk, doc_id, base, terms) of each row of docs (doc_id, text): base spans as kind:start:end, and an array of (a, b) of revealing terms.
 
     Null texts are empty; repeated rows each give a row and count as documents each; an empty table gives no rows. rk is
-    xxhash64(doc_id, text). A term's span never overlaps a base span.
+    a 128-bit name of (doc_id, text). A term's span never overlaps a base span.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", row_name(F.col("doc_id"), F.col("text")))
     found = written(find(rows), "spans")
     every = found.filter("row = 'd'").select("rk", "doc_id", "base")
     total = float(every.count())
@@ -221,18 +235,19 @@ def masked(text: str, base: str, terms: list[tuple[int, int]]) -> str:
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with every span in `text` masked; a null text stays null, n_chars follows the text where it exists."""
-    spans = spans_of(docs, **options).filter("base <> '' OR size(terms) > 0").select(F.col("rk").alias("_plinth_rk"), F.col("base").alias("_plinth_base"), F.transform("terms", lambda x: F.array(x["a"], x["b"])).alias("_plinth_terms")).dropDuplicates(["_plinth_rk"])
-    joined = docs.withColumn("_plinth_rk", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).hint("merge").join(spans, "_plinth_rk", "left")  # neither side has a bound
+    rk, base, terms = (fresh(x, docs) for x in ("rk", "base", "terms"))
+    spans = spans_of(docs, **options).filter("base <> '' OR size(terms) > 0").select(F.col("rk").alias(rk), F.col("base").alias(base), F.transform("terms", lambda x: F.array(x["a"], x["b"])).alias(terms)).dropDuplicates([rk])
+    joined = docs.withColumn(rk, row_name(F.col("doc_id").cast("long"), F.col("text").cast("string"))).hint("merge").join(spans, rk, "left")  # neither side has a bound
 
     @F.pandas_udf("string")
     def mask(text, base, terms):
         return pd.Series([t if t is None or b is None else masked(t, b, [tuple(x) for x in c]) for t, b, c in zip(text, base, terms)], dtype=object)
 
-    clean = F.when(F.col("_plinth_base").isNull(), F.col("text")).otherwise(mask("text", "_plinth_base", "_plinth_terms"))
+    clean = F.when(F.col(base).isNull(), F.col("text")).otherwise(mask("text", base, terms))
     out = joined.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(documents: DataFrame) -> DataFrame:

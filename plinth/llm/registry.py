@@ -1,18 +1,14 @@
 """Queries of this subpackage's operators over their whole tables, and SQL for those that SQL can express."""
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plinth.llm import bpe, chat, langid, merkle, ngramjoin, packing, pii, suffixdedup, topk, urlfilter
 from plinth.llm.shared import PATTERN, table
 
-#: Where the public vocabularies lie; a parameter of each operator that needs one.
-TOKENIZERS = os.environ.get("PLINTH_TOKENIZERS", "/opt/tokenizers")
-
-
 def vocabulary(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """Where a public vocabulary lies; a parameter of each operator that needs one."""
+    return public_tokenizers.path(name)
 
 
 def _over(name: str, f):

@@ -1,19 +1,35 @@
 """What the operators share: reading tables, cutting lineage, generational caches."""
 
+import itertools
 import re
 import tempfile
 import uuid
 
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from public_tokenizers import PATTERN
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-#: Rows in a batch between the JVM and Python: rows hold whole texts, so Spark's default of 10,000 would be tens of MB on each side.
-BATCH_ROWS = 512
+#: A batch between the JVM and Python: rows hold whole texts, so Spark's defaults (10,000 rows, 64 MB) would be much on each side.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def short_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """BATCH for the session: a plan takes these when it runs, so they are set where the operators' tables are read and written."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+
+
+def row_name(*columns: Column) -> Column:
+    """A 128-bit name (binary) of a row's values; nulls are told from empty texts. Equal rows have equal names."""
+    parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.md5(F.concat_ws("\x00", *parts)))
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that none of the frames has, whatever its case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    return next(x for i in itertools.count() if (x := f"_{name}_{i}") not in taken)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) is one made."""
+    """The folder all executors share. Only where the session names none and runs on this machine alone (tests) is one made."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="plinth-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -40,9 +58,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Fixed value: the split pattern that belongs to the byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# The same for texts of plain Latin-1, where letters and numbers are these ranges; alternatives that can't start alike are reordered.
+# PATTERN for texts of plain Latin-1, where letters and numbers are these ranges; alternatives that can't start alike are reordered.
 _LATIN = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9ªµºÀ-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 _BEYOND = re.compile("[^\t-\r -\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
 

@@ -11,11 +11,15 @@ have anchors of equal k-grams at equal offsets. Hence:
 3. In each group, suffixes at the anchors and reversed prefixes before them are sorted deep-shallow: multikey
    quicksort on 8-byte super-characters to a shallow depth, then blind tries order what still shares a long prefix.
    Common prefixes of neighbours give, for each split of `length` into bytes before and after the anchor, classes of equal
-   strings; a context in a class with another is repeated there.
+   strings; a context in a class with another, or with several places, is repeated there.
 4. Repeated intervals return to their rows, are merged, and cut out.
 
-A hash with more than `hot` places isn't gathered: each string over its anchors is hashed (128 bits) and counted
-with map-side combining, which splits evenly whatever the group's size.
+No group has more than `most_places` places. A larger one is split by its context: the offsets 0 to length - k of the anchor in a
+string fall into PARTS ranges, and all strings with an offset in a range share the bytes from the range's first offset before the
+anchor to `length` less its last one behind it. Places with equal such bytes make a group of their own, one for each range. Groups of
+one place are done. So are those whose places all have one context: that's a single entry of the suffix array,
+however often it stands. What is still too large is split again, into single offsets, where a group is one string. Places are
+counted with map-side combining and joined, never gathered.
 """
 
 from functools import lru_cache
@@ -27,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm.shared import written
+from plinth.llm.shared import row_name, written
 
 SEGMENT = 1 << 18
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_BASE = 0x9E3779B97F4A7C15
 CHUNK = 16384
+PARTS = 16
 SHALLOW = 64
 
 
@@ -46,7 +51,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return up, down, words
 
 
-def window_hashes(data: np.ndarray, size: int, base: int = _BASES[0]) -> np.ndarray:
+def window_hashes(data: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
     """A 64-bit hash of each `size`-byte window of at most SEGMENT + 4096 bytes."""
     n = len(data)
     if n < size:
@@ -168,34 +173,29 @@ def _order(groups: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.nda
     return np.array(order), np.array(lcp)
 
 
-def repeated(groups: np.ndarray, before: list[bytes], after: list[bytes], counts: np.ndarray, length: int, most_before: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the most and the fewest bytes before the anchor with which a repeated string starts (-1: none).
+def repeated(groups: np.ndarray, before: list[bytes], after: list[bytes], counts: np.ndarray, length: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the most and the fewest bytes before the anchor, from low to high, with which a repeated string starts (-1: none).
 
     groups must be sorted; before holds reversed prefixes; counts are the contexts' places.
     """
-    n = len(groups)
     n_before, n_after = np.array([len(x) for x in before]), np.array([len(x) for x in after])
-    most, fewest = np.minimum(n_before, most_before), np.maximum(0, length - n_after)
+    most, fewest = np.minimum(n_before, high), np.maximum(low, length - n_after)
     most[(counts < 2) | (most < fewest)] = -1
     fewest[most < 0] = -1
-    # only groups in which another context can matter
-    sizes = np.bincount(groups)[groups]
-    single = np.zeros(int(groups[-1]) + 1, bool)
-    single[groups[counts < 2]] = True
-    work = np.flatnonzero((sizes > 1) & single[groups])
+    work = np.flatnonzero(np.bincount(groups)[groups] > 1)
     if not len(work):
         return most, fewest
     g = groups[work]
     by_after, after_lcp = _order(g, [after[i] for i in work])
     by_before, before_lcp = _order(g, [before[i] for i in work])
-    na, nb, open_ = n_after[work], n_before[work], counts[work] < 2
+    na, nb, low, high, open_ = n_after[work], n_before[work], low[work], high[work], counts[work] < 2
     m = len(work)
     ra, rb = np.empty(m, np.int64), np.empty(m, np.int64)
     lo, hi = np.full(m, -1), np.full(m, -1)
-    for d in range(most_before + 1):
+    for d in range(int(low.min()), int(high.max()) + 1):
         ra[by_after] = np.cumsum(after_lcp < length - d)
         rb[by_before] = np.cumsum(before_lcp < d)
-        sound = np.flatnonzero((na >= length - d) & (nb >= d))
+        sound = np.flatnonzero((na >= length - d) & (nb >= d) & (low <= d) & (d <= high))
         if len(sound) < 2:
             continue
         pair = ra[sound] * (m + 1) + rb[sound]
@@ -227,134 +227,174 @@ def _anchor_rows(rows: DataFrame, length: int, k: int) -> DataFrame:
                 data = np.frombuffer(_bytes(text), np.uint8)
                 if len(data) >= length:
                     p, h = anchors(data, length, k)
-                    ids.append(np.full(len(p), rk, np.int64))
-                    at.append(p.astype(np.int32))
+                    ids += [rk] * len(p)
+                    at.append(p)
                     keys.append(h.view(np.int64))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, at)], ["key", "rk", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids, pa.binary()), pa.array(np.concatenate(at))], ["key", "rk", "pos"])
 
-    return rows.select("rk", "text").mapInArrow(run, "key long, rk long, pos int")
+    return rows.select("rk", "text").mapInArrow(run, "key long, rk binary, pos long")
 
 
-CONTEXT = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("split", pa.int32()), ("content", pa.binary()), ("rk", pa.int64()), ("pos", pa.int32())])
+PLACE = "key long, ctx binary, lo int, hi int, split int, content binary, rk binary, pos long"
+RANGE = "key long, ctx long, lo int, hi int, most int, fewest int, rk binary, pos long"
+STRING = "a long, b long, rk binary, start long"
+SPAN = "rk binary, start long, end long"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def _context_rows(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """A row for each anchor in the list `at` of a text; the content comes with its first row in a task only."""
+def _batches(rows, schema: str, size: int = 4000):
+    """Record batches of an iterable of tuples."""
+    fields = [c.split() for c in schema.split(", ")]
+    held: list[tuple] = []
 
-    def run(batches):
-        sent: set[tuple[int, int]] = set()
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(zip(*held), fields)], [n for n, _ in fields])
+
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield batch()
+            held.clear()
+    if held:
+        yield batch()
+
+
+def _per_item(texts: DataFrame, f, schema: str) -> DataFrame:
+    """The rows that f(rk, data, items) gives for each row of texts (rk, text, at); items are (pos, key, lo, hi), each once."""
+
+    def rows(batches):
         for batch in batches:
-            out = []
-            for rk, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = _bytes(text)
-                for p, key in sorted({(x["pos"], x["key"]) for x in at}):
-                    start = max(0, p - (length - k))
-                    content = data[start : p + length]
-                    ctx = xxhash.xxh3_64_intdigest(content, p - start) - (1 << 63)
-                    new = (key, ctx) not in sent
-                    if new:
-                        if len(sent) > 300_000:
-                            sent.clear()
-                        sent.add((key, ctx))
-                    out.append((key, ctx, p - start, content if new else None, rk, p))
-                if len(out) > 4000:
-                    yield _context_batch(out)
-                    out = []
-            if out:
-                yield _context_batch(out)
-
-    return rows.mapInArrow(run, "key long, ctx long, split int, content binary, rk long, pos int")
-
-
-def _context_batch(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), CONTEXT.types)], schema=CONTEXT)
-
-
-def _intervals(contexts: DataFrame, length: int, k: int) -> DataFrame:
-    """(rk, start, end) of repeated bytes. Rows stream in order of key, contents first: memory is the contexts of CHUNK
-    rows or of one group, which has at most `hot` places."""
+            for rk, text, at in zip(batch.column("rk").to_pylist(), batch.column("text").to_pylist(), batch.column("at").to_pylist()):
+                yield from f(rk, _bytes(text), sorted({(x["pos"], x["key"], x["lo"], x["hi"]) for x in at}))
+
+    return texts.mapInArrow(lambda batches: _batches(rows(batches), schema), schema)
+
+
+def _context_rows(texts: DataFrame, length: int) -> DataFrame:
+    """PLACE rows of items; a content comes with its first row in a task only."""
+    sent: set[tuple[int, bytes]] = set()
+
+    def of(rk, data, items):
+        for pos, key, lo, hi in items:
+            start = max(0, pos - hi)
+            content = data[start : pos + length - lo]
+            ctx = xxhash.xxh3_128_digest(content, pos - start)
+            new = (key, ctx) not in sent
+            if new:
+                if len(sent) > 300_000:
+                    sent.clear()
+                sent.add((key, ctx))
+            yield key, ctx, lo, hi, pos - start, content if new else None, rk, pos
+
+    return _per_item(texts, of, PLACE)
+
+
+def _range_rows(texts: DataFrame, length: int) -> DataFrame:
+    """RANGE rows: each item's offsets lo to hi in PARTS ranges. key: what all strings with an offset in the range share; ctx: all that they reach."""
+
+    def of(rk, data, items):
+        for pos, key, lo, hi in items:
+            step = -(-(hi - lo + 1) // PARTS)
+            for a in range(lo, hi + 1, step):
+                b = min(hi, a + step - 1)
+                most, fewest = min(b, pos), max(a, length - len(data) + pos)
+                if fewest <= most:
+                    shared = xxhash.xxh3_64_intdigest(data[pos - a : pos + length - b], (key ^ a * 0x9E3779B97F4A7C15) % (1 << 64))
+                    reached = data[max(0, pos - b) : pos + length - a]
+                    yield shared - (1 << 63), xxhash.xxh3_64_intdigest(reached, min(pos, b)) - (1 << 63), a, b, most, fewest, rk, pos
+
+    return _per_item(texts, of, RANGE)
+
+
+def _string_rows(texts: DataFrame, length: int) -> DataFrame:
+    """STRING rows: the strings of items at each offset, once for each start in a text."""
+
+    def of(rk, data, items):
+        starts = {pos - d for pos, _, lo, hi in items for d in range(max(lo, length - len(data) + pos), min(hi, pos) + 1)}
+        for start in sorted(starts):
+            x = xxhash.xxh3_128_intdigest(data[start : start + length])
+            yield (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), rk, start
+
+    return _per_item(texts, of, STRING)
+
+
+def _intervals(contexts: DataFrame, length: int) -> DataFrame:
+    """SPAN rows of repeated bytes. Rows stream in order of key, contents first: memory is the contexts of CHUNK rows or of one group."""
     dealt = contexts.repartition("key").withColumn("member", F.col("content").isNull()).sortWithinPartitions("key", "ctx", "member")
 
-    def flush(groups, splits, contents, counts, places):
-        if not groups:
-            return None
-        before = [c[:s][::-1] for c, s in zip(contents, splits)]
-        after = [c[s:] for c, s in zip(contents, splits)]
-        most, fewest = repeated(np.array(groups), before, after, np.array(counts), length, length - k)
-        who = np.array([x[0] for x in places])
-        rk, pos = np.array([x[1] for x in places], np.int64), np.array([x[2] for x in places], np.int64)
-        take = most[who] >= 0
-        who, rk, pos = who[take], rk[take], pos[take]
-        return pa.RecordBatch.from_arrays([pa.array(rk), pa.array((pos - most[who]).astype(np.int64)), pa.array((pos - fewest[who] + length).astype(np.int64))], ["rk", "start", "end"])
+    def flush(groups, ranges, contents, counts, places):
+        if groups:
+            before = [c[:s][::-1] for c, (s, _, _) in zip(contents, ranges)]
+            after = [c[s:] for c, (s, _, _) in zip(contents, ranges)]
+            most, fewest = repeated(np.array(groups), before, after, np.array(counts), length, np.array([x[1] for x in ranges]), np.array([x[2] for x in ranges]))
+            for who, rk, pos in places:
+                if most[who] >= 0:
+                    yield rk, pos - int(most[who]), pos - int(fewest[who]) + length
 
-    def run(batches):
+    def rows(batches):
         at, ctx, group = None, None, -1
-        groups, splits, contents, counts, places = [], [], [], [], []
+        groups, ranges, contents, counts, places = [], [], [], [], []
         for batch in batches:
-            for key, c, split, content, rk, pos in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for key, c, lo, hi, split, content, rk, pos in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if key != at:
                     if len(groups) + len(places) // 8 >= CHUNK:
-                        if (b := flush(groups, splits, contents, counts, places)) is not None:
-                            yield b
-                        groups, splits, contents, counts, places, group = [], [], [], [], [], -1
+                        yield from flush(groups, ranges, contents, counts, places)
+                        groups, ranges, contents, counts, places, group = [], [], [], [], [], -1
                     at, ctx, group = key, None, group + 1
                 if c != ctx:
                     ctx = c
                     groups.append(group)
-                    splits.append(split)
+                    ranges.append((split, lo, hi))
                     contents.append(content)
                     counts.append(0)
                 counts[-1] += 1
                 places.append((len(groups) - 1, rk, pos))
-        if (b := flush(groups, splits, contents, counts, places)) is not None:
-            yield b
+        yield from flush(groups, ranges, contents, counts, places)
 
-    return dealt.select("key", "ctx", "split", "content", "rk", "pos").mapInArrow(run, "rk long, start long, end long")
+    return dealt.select("key", "ctx", "lo", "hi", "split", "content", "rk", "pos").mapInArrow(lambda batches: _batches(rows(batches), SPAN), SPAN)
 
 
-def _hot_intervals(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """The same for the anchors of hot hashes: all strings over them, counted by hash."""
+def _lists(places: DataFrame) -> DataFrame:
+    return places.groupBy("rk").agg(F.collect_list(F.struct("pos", "key", "lo", "hi")).alias("at"))
 
-    def run(batches):
-        for batch in batches:
-            for rk, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = np.frombuffer(_bytes(text), np.uint8)
-                starts = np.zeros(len(data) - length + 2, np.int32)
-                for p in {x["pos"] for x in at}:
-                    starts[max(0, p - length + k)] += 1
-                    starts[min(p, len(data) - length) + 1] -= 1
-                starts = np.flatnonzero(np.cumsum(starts) > 0)
-                for begin in range(0, len(data), SEGMENT):
-                    own = starts[(starts >= begin) & (starts < begin + SEGMENT)]
-                    if len(own):
-                        part = data[begin : begin + SEGMENT + length - 1]
-                        h = [window_hashes(part, length, b)[own - begin].view(np.int64) for b in _BASES]
-                        yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(own), rk)), pa.array(own.astype(np.int64))], ["a", "b", "rk", "start"])
-
-    strings = written(rows.mapInArrow(run, "a long, b long, rk long, start long"), "strings")
-    twice = strings.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    return strings.join(twice, ["a", "b"]).select("rk", "start", (F.col("start") + length).alias("end"))
-
-
-def dedup(docs: DataFrame, length: int = 400, k: int = 32, hot: int = 100_000, rest: list | None = None) -> DataFrame:
+
+def _split(dealt: DataFrame, hot: DataFrame, length: int, most_places: int) -> tuple[DataFrame, DataFrame]:
+    """(items for groups of at most most_places places, SPAN rows found already) of the items hot, whose groups are larger."""
+    texts = lambda items: dealt.join(_lists(items), "rk")
+    ranges = written(_range_rows(texts(hot), length), "ranges")
+    # written: both sides of the join are then shuffled for it, so that Spark can split a hot key
+    groups = written(ranges.groupBy("key").agg(F.count("*").alias("places"), F.min("ctx").alias("least"), F.max("ctx").alias("greatest")).filter("places > 1"), "groups")
+    open_ = ranges.join(groups, "key")
+    one = open_.filter("least = greatest").select("rk", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("fewest") + length).alias("end"))
+    several = open_.filter("least < greatest").select("key", "lo", "hi", "rk", "pos", (F.col("places") > most_places).alias("hot"))
+    strings = written(_string_rows(texts(several.filter("hot")), length), "strings")
+    twice = written(strings.groupBy("a", "b").agg(F.count("*").alias("places")).filter("places > 1").select("a", "b"), "repeated_strings")
+    found = strings.join(twice, ["a", "b"]).select("rk", "start", (F.col("start") + length).alias("end"))
+    return several.filter(~F.col("hot")).drop("hot"), one.unionByName(found)
+
+
+def dedup(docs: DataFrame, length: int = 400, k: int = 32, most_places: int = 20_000, least_words: int = 0, rest: list | None = None) -> DataFrame:
     """(doc_id, rk, n_bytes, spans, kept) of each row of docs (doc_id, text): repeated runs and the bytes that are left.
 
     Null texts are empty. Texts shorter than `length` stay whole; repeated rows repeat each other. Matches within one
-    text count, overlapping ones too. An empty table gives no rows. rk is xxhash64(doc_id, text). rest: columns carried along as a struct `rest`.
+    text count, overlapping ones too. An empty table gives no rows. least_words: runs of fewer words (at white space, parts of words
+    count) stay. rk is a 128-bit name of (doc_id, text). rest: columns carried along as a struct `rest`. most_places bounds what a
+    task holds of one group and changes no result.
     """
     extra = F.struct(*rest) if rest else F.lit(None).cast("struct<none:boolean>")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), extra.alias("rest")).withColumn("rk", F.xxhash64("doc_id", "text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), extra.alias("rest")).withColumn("rk", row_name(F.col("doc_id"), F.col("text")))
     found = written(_anchor_rows(rows, length, k), "anchors")
-    twice = found.groupBy("key").agg(F.count("*").alias("places")).filter("places > 1")
-    again = written(found.join(twice, "key").select("key", "rk", "pos", (F.col("places") > hot).alias("hot")), "repeated")
-    lists = again.groupBy("rk", "hot").agg(F.collect_list(F.struct("pos", "key")).alias("at"))
+    twice = written(found.groupBy("key").agg(F.count("*").alias("places")).filter("places > 1"), "keys")
+    again = written(found.join(twice, "key").select("key", F.lit(0).alias("lo"), F.lit(length - k).alias("hi"), "rk", "pos", (F.col("places") > most_places).alias("hot")), "repeated")
     dealt = rows.select("rk", "doc_id", "text", "rest").repartition("rk")
-    # both uses of dealt read all its columns, so that its one shuffle serves both
-    texts = dealt.join(lists.filter(~F.col("hot")).select("rk", "at"), "rk")
-    spans = _intervals(_context_rows(texts.select("rk", "text", "at", "doc_id", "rest"), length, k), length, k)
-    if again.filter("hot").limit(1).count():
-        spans = spans.unionByName(_hot_intervals(dealt.select("rk", "text").join(lists.filter("hot").select("rk", "at"), "rk").select("rk", "text", "at"), length, k))
+    # all uses of dealt read all its columns, so that one shuffle serves them
+    contexts = lambda items: _context_rows(dealt.join(_lists(items), "rk").select("rk", "text", "at", "doc_id", "rest"), length)
+    places, spans = contexts(again.filter(~F.col("hot"))), None
+    if not again.filter("hot").isEmpty():
+        items, spans = _split(dealt, again.filter("hot"), length, most_places)
+        places = places.unionByName(contexts(items))
+    spans = _intervals(places, length) if spans is None else _intervals(places, length).unionByName(spans)
     by_row = spans.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
     def cut(batches):
@@ -368,6 +408,8 @@ def dedup(docs: DataFrame, length: int = 400, k: int = 32, hot: int = 100_000, r
                         merged[-1][1] = max(b, merged[-1][1])
                     else:
                         merged.append([a, b])
+                if least_words:
+                    merged = [r for r in merged if len(data[r[0] : r[1]].split()) >= least_words]
                 ends = [0, *(x for r in merged for x in r), len(data)]
                 n.append(len(data))
                 runs.append([{"start": a, "end": b} for a, b in merged])
@@ -375,7 +417,7 @@ def dedup(docs: DataFrame, length: int = 400, k: int = 32, hot: int = 100_000, r
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), batch.column(4)], ["rk", "doc_id", "n_bytes", "spans", "kept", "rest"])
 
     joined = dealt.join(by_row, "rk", "left").select("rk", "doc_id", "text", "runs", "rest")
-    out = T.StructType([T.StructField("rk", T.LongType()), joined.schema["doc_id"], *T._parse_datatype_string("n_bytes long, spans array<struct<start:long,end:long>>, kept binary").fields, joined.schema["rest"]])
+    out = T.StructType([T.StructField("rk", T.BinaryType()), joined.schema["doc_id"], *T._parse_datatype_string("n_bytes long, spans array<struct<start:long,end:long>>, kept binary").fields, joined.schema["rest"]])
     return joined.mapInArrow(cut, out).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -68,10 +68,10 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [100_000, 3])
-def test_suffix_dedup(spark, documents, awkward, hot):
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_suffix_dedup(spark, documents, awkward, most):
     small = documents.select("doc_id", "text").filter(F.length("text") < 6000).unionByName(awkward.filter(F.length("text") < 6000).select("doc_id", "text"))
-    got = suffixdedup.dedup(small, hot=hot)
+    got = suffixdedup.dedup(small, most_places=most)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     mine = Counter(tuple(r) for r in got.select("doc_id", "n_bytes", removed, F.size("spans"), F.sha2("kept", 256)).collect())
     listed = [tuple(r) for r in small.collect()]
@@ -88,6 +88,17 @@ def test_suffix_dedup_short_lengths(spark):
         assert got == dict(enumerate(brute_repeats(texts, length)))
 
 
+def test_suffix_dedup_hot_passage(spark):
+    # one passage in a third of all texts, between words of their own, some of them long
+    passage = text_of(90, 6)
+    texts = [f"{text_of(9 + 7 * (i % 5), 100 + i)} {passage} {text_of(11 + 3 * (i % 4), 900 + i)}" for i in range(40)] + [text_of(40 + i, 2000 + i) for i in range(80)] + [text_of(9000, 1), text_of(3000, 1), text_of(5000, 2) + passage]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(brute_repeats(texts, 400)))
+    for most in (20_000, 10):
+        got = {x["doc_id"]: (x["n_bytes"], sum(s["end"] - s["start"] for s in x["spans"]), len(x["spans"]), hashlib.sha256(x["kept"]).hexdigest()) for x in suffixdedup.dedup(docs, most_places=most).collect()}
+        assert got == want
+
+
 def test_deep_shallow_sorts():
     r = random.Random(1)
     for shallow in (0, 8, 64):
@@ -153,6 +164,44 @@ def test_pii_terms_everywhere(spark):
     assert clean[9] == "they saw [TERM] on [TERM]" and clean[10] == texts[10]
 
 
+def brute_terms(texts, prior=1.0, disclosure=0.8):
+    """Each text's revealing terms as (start, end), from counts of documents."""
+    held, words_ = [], []
+    for t in texts:
+        spans = brute_spans(t or "")
+        held.append({h for k, a, b in spans for h in pii.entities(k, t[a:b])})
+        inside = [(a, b) for _, a, b in spans]
+        words_.append([(m[0], m.start(), m.end()) for m in re.finditer(r"\S+", t or "") if re.search(r"[^\W_]", m[0]) and not any(a < m.end() and m.start() < b for a, b in inside)])
+    df_e, df_t, both, n = Counter(), Counter(), Counter(), len(texts)
+    for es, ws, t in zip(held, words_, texts):
+        df_e.update(es)
+        df_t.update(set((t or "").split()))
+        both.update((e, w) for e in es for w in {w for w, _, _ in ws})
+    telling = set()
+    for (e, w), c in both.items():
+        p = df_e[e] / n
+        if df_e[e] < n and np.log2((c + prior * p) / (df_t[w] + prior) / p) >= disclosure * -np.log2(p):
+            telling.add(w)
+    return [sorted((a, b) for w, a, b in ws if w in telling) for ws in words_]
+
+
+def test_pii_terms_by_brute_force(spark, documents):
+    texts = [r["text"] for r in documents.orderBy("doc_id").collect()] + ["call Zanzibar of the ann@one.example today"] * 4 + [None, ""]
+    docs = spark.createDataFrame([(min(i, len(texts) - 6), t) for i, t in enumerate(texts)], "doc_id long, text string")  # the four rows are equal
+    got = Counter((r["doc_id"], tuple((x["a"], x["b"]) for x in r["terms"])) for r in pii.spans_of(docs).collect())
+    want = Counter((min(i, len(texts) - 6), tuple(x)) for i, x in enumerate(brute_terms(texts)))
+    assert got == want and sum(len(k[1]) * n for k, n in want.items()) > 100
+    assert sum(n for (_, spans), n in got.items() if (5, 13) in spans) >= 4  # Zanzibar
+
+
+def test_pii_long_digits_are_quick():
+    import time
+
+    begin = time.time()
+    assert pii.base_spans("1" * 400_000) == [] and pii.base_spans("1." * 200_000)[0] == ("ip", 0, 7)
+    assert time.time() - begin < 10
+
+
 def test_pii_long_ip_parts():
     text = "0" * 600 + "10.0.000.255 and 1.2.3." + "9" * 600
     assert pii.base_spans(text) == [("ip", 0, 612)]
@@ -218,7 +267,8 @@ def test_top_k_stops_early():
 # --- op5
 
 
-def brute_classes(docs, n=5, t=0.8):
+def brute_links(docs, n=5, t=0.8):
+    """Each row's number of links, and the first row of its class."""
     sets = []
     for _, text in docs:
         w = (text or "").split()
@@ -239,11 +289,16 @@ def brute_classes(docs, n=5, t=0.8):
             if c / (len(s) + len(sets[j]) - c) >= t:
                 links[i] += 1
                 label[max(top(i), top(j))] = min(top(i), top(j))
+    return links, [top(i) for i in range(len(sets))]
+
+
+def brute_classes(docs):
+    links, tops = brute_links(docs)
     groups = defaultdict(list)
-    for i in range(len(sets)):
-        groups[top(i)].append(docs[i][0])
+    for i, k in enumerate(tops):
+        groups[k].append(docs[i][0])
     least = {k: min((x for x in v if x is not None), default=None) for k, v in groups.items()}
-    return [(docs[i][0], least[top(i)], links[i]) for i in range(len(sets))]
+    return [(docs[i][0], least[k], links[i]) for i, k in enumerate(tops)]
 
 
 def near_fixture():
@@ -271,8 +326,20 @@ def test_one_of_each(spark, awkward):
     assert kept.columns == docs.columns
     again = [tuple(r) for r in kept.select("doc_id", "text").collect()]
     assert all(links == 0 for _, _, links in brute_classes(again))
-    n = len(set((c, i if c is None else 0) for i, (d, c, links) in enumerate(brute_classes(listed)) if links == 0 or d == c))
-    assert len(again) >= n - 2 and sum(not (t or "").split() for _, t in again) == sum(not (t or "").split() for _, t in listed)
+    links, tops = brute_links(listed)
+    assert len(again) == sum(n == 0 for n in links) + len({k for k, n in zip(tops, links) if n})
+    assert sum(not (t or "").split() for _, t in again) == sum(not (t or "").split() for _, t in listed)
+
+
+def test_ngram_join_chain(spark):
+    # each text is like its neighbours only: one class, whose ends share nothing; blocks of few nodes and few n-grams
+    words_ = [f"w{i}" for i in range(900)]
+    docs = [(i, " ".join(words_[12 * i : 12 * i + 200])) for i in range(50)] + [(100 + i, " ".join(words_[12 * i : 12 * i + 200])) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = Counter(brute_classes(docs))
+    assert {c for _, c, _ in want} == {0}
+    for options in ({}, {"block": 2}, {"block_grams": 300}):
+        assert Counter(tuple(x) for x in ngramjoin.join(df, **options).select("doc_id", "class_id", "n_links").collect()) == want
 
 
 # --- op6
