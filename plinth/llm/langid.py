@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.shared import written
+from pyspark.sql import types as T
+
+from plinth.llm.shared import fresh, written
 
 MARK, LONGEST_WORD, UNKNOWN, CACHE = "▁", 32, 1e-7, 150_000
+#: Languages of a model, which is a table of vocabulary x languages; more fail.
 MOST_LANGUAGES = 256
+_SHARES = 1 << 40
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = 0x9E3779B97F4A7C15
 
@@ -130,12 +134,12 @@ def quotas(counts: dict[str, int], most: int) -> dict[str, float]:
 
 def sample_of(labelled: DataFrame, most_docs: int) -> DataFrame:
     """(text, lang): at most about most_docs rows of labelled (doc_id, text, lang) by quotas of the languages, chosen by a hash of doc_id and text."""
-    rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)).alias("h"))
+    rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(_SHARES)).alias("h"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if sum(counts.values()) > most_docs:
-        below = {k: math.ceil((1 << 20) * q / counts[k]) for k, q in quotas(counts, most_docs).items()}
+        below = {k: math.ceil(_SHARES * q / counts[k]) for k, q in quotas(counts, most_docs).items()}
         rows = rows.filter(F.col("h") < F.create_map(*(F.lit(x) for k in below.items() for x in k))[F.col("lang")])
     return rows.select("text", "lang")
 
@@ -161,23 +165,26 @@ def fit(train: DataFrame, vocabulary: str, most_docs: int = 8_000, rounds: int =
     probs = np.full((len(known), len(langs)), 1 / len(known))
     number = {x: i for i, x in enumerate(langs)}
     for _ in range(rounds if langs else 0):
-        columns = [np.ascontiguousarray(probs[:, k]) for k in range(len(langs))]
+        shared = train.sparkSession.sparkContext.broadcast(probs)  # pieces x at most MOST_LANGUAGES numbers
 
-        def step(batches, columns=columns):
+        def step(batches, shared=shared):
             known, longest = pieces(vocabulary)
-            lists = [c.tolist() for c in columns]
-            counts: list[dict[int, float]] = [{} for _ in lists]
+            lists: dict[int, list] = {}
+            counts: dict[int, dict[int, float]] = {}
             for batch in batches:
                 for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     k = number[lang]
+                    if k not in lists:
+                        lists[k], counts[k] = shared.value[:, k].tolist(), {}
                     expected(word, n, known, longest, lists[k], counts[k])
-            flat = [(k, at, x) for k, c in enumerate(counts) for at, x in c.items()]
+            flat = [(k, at, x) for k, c in counts.items() for at, x in c.items()]
             if flat:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat), (pa.int32(), pa.int32(), pa.float64()))], ["k", "at", "x"])
 
+        # summed on executors; the model's size comes back
+        found = sample.mapInArrow(step, "k int, at int, x double").groupBy("k", "at").agg(F.sum("x").alias("x")).toArrow()
         counted = np.full(probs.shape, smoothing)
-        for r in sample.mapInArrow(step, "k int, at int, x double").groupBy("k", "at").agg(F.sum("x").alias("x")).collect():  # at most pieces x languages
-            counted[r["at"], r["k"]] += r["x"]
+        counted[found["at"].to_numpy(), found["k"].to_numpy()] += found["x"].to_numpy()
         probs = counted / counted.sum(axis=0)
     return langs, probs
 
@@ -236,35 +243,39 @@ class Scorer:
         return out
 
 
-def scored(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str) -> DataFrame:
-    """docs, all columns, with _lang_pred, _lang_score, _lang_fit (log-probability per character) and _lang_chars, see Scorer.predict.
+FOUND = {"pred": (pa.string(), T.StringType()), "score": (pa.float64(), T.DoubleType()), "fit": (pa.float64(), T.DoubleType()), "chars": (pa.int64(), T.LongType())}
+
+
+def scored(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, name: str) -> DataFrame:
+    """docs, all columns, with a struct `name` of pred, score, fit (log-probability per character) and chars, see Scorer.predict.
 
     The model (vocabulary x languages) is what goes to the executors; documents don't shuffle.
     """
-    from pyspark.sql import types as T
-
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most pieces x MOST_LANGUAGES numbers
     at = docs.columns.index("text")
-    added = {"_lang_pred": (pa.string(), T.StringType()), "_lang_score": (pa.float64(), T.DoubleType()), "_lang_fit": (pa.float64(), T.DoubleType()), "_lang_chars": (pa.int64(), T.LongType())}
 
     def run(batches):
         s = Scorer(vocabulary, *shared.value)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                found = zip(*s.predict(part.column(at).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, t) for x, (t, _) in zip(found, added.values()))], [*batch.schema.names, *added])
+                found = [pa.array(x, t) for x, (t, _) in zip(zip(*s.predict(part.column(at).to_pylist())), FOUND.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(found, list(FOUND))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, (_, t) in added.items())]))
+    kind = T.StructType([T.StructField(n, t) for n, (_, t) in FOUND.items()])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
 
-def identify(docs: DataFrame, train: DataFrame, vocabulary: str, **options) -> DataFrame:
-    """docs, all columns, with _lang_pred and _lang_score (posterior of the best language, languages equally likely before).
+def identify(docs: DataFrame, train: DataFrame, vocabulary: str, pred: str = "lang_pred", score: str = "lang_score", **options) -> DataFrame:
+    """docs, all columns, with the columns pred and score (posterior of the best language, languages equally likely before); such columns are replaced.
 
     Null texts, texts without a letter, and all texts if there is no training row, are `und` with score 0. Ties go to the
     first language by name.
     """
-    return scored(docs, fit(train, vocabulary, **options), vocabulary).drop("_lang_fit", "_lang_chars")
+    docs = docs.drop(pred, score)
+    name = fresh("found", docs)
+    found = scored(docs, fit(train, vocabulary, **options), vocabulary, name)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{name}.pred").alias(pred), F.col(f"{name}.score").alias(score))
 
 
 def training(documents: DataFrame) -> DataFrame:
@@ -279,8 +290,8 @@ def held_out(documents: DataFrame) -> DataFrame:
 
 def usual_fit(held: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, most_docs: int = 8_000) -> dict[str, float]:
     """The median log-probability per character of each language's held-out texts; for languages without any, the lowest of the others."""
-    rows = scored(sample_of(held, most_docs), model, vocabulary).filter("_lang_pred = lang")
-    found = dict(tuple(r) for r in rows.groupBy("_lang_pred").agg(F.percentile_approx("_lang_fit", 0.5, 1000)).collect())  # a row a language
+    rows = scored(sample_of(held, most_docs), model, vocabulary, "found").filter("found.pred = lang")
+    found = dict(tuple(r) for r in rows.groupBy("lang").agg(F.percentile_approx("found.fit", 0.5, 1000)).collect())  # a row a language
     return {k: found.get(k, min(found.values())) for k in model[0]} if found else {}
 
 
@@ -293,14 +304,17 @@ def accepted(docs: DataFrame, vocabulary: str, least_score: float = 0.5, worst_f
     """
     model = fit(training(docs), vocabulary)
     usual = usual_fit(held_out(docs), model, vocabulary)
+    name = fresh("found", docs)
+    found = scored(docs, model, vocabulary, name)
+    x = found[name]
     fits = F.lit(True)
     if usual:
-        median = F.create_map(*(F.lit(x) for k in usual.items() for x in k))[F.col("_lang_pred")]
-        fits = F.col("_lang_fit") >= median * (worst_fit + slack / F.col("_lang_chars"))
-    return scored(docs, model, vocabulary).filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least_score) & fits).select(*docs.columns)
+        median = F.create_map(*(F.lit(x) for k in usual.items() for x in k))[x["pred"]]
+        fits = x["fit"] >= median * (worst_fit + slack / x["chars"])
+    return found.filter((x["pred"] != "und") & (x["score"] >= least_score) & fits).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(documents: DataFrame, vocabulary: str) -> DataFrame:
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return identify(docs, training(documents), vocabulary).select("doc_id", held.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    return identify(docs, training(documents), vocabulary).select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -518,6 +518,32 @@ def test_language_id(spark, documents, awkward):
     assert {r["lang_pred"] for r in langid.query(awkward.withColumn("lang", F.lit(None).cast("string")), vocabulary("piece_bpe_32k.model")).collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark, documents):
+    """Predictions and scores from each word's sum over its segmentations, in plain Python."""
+    path = vocabulary("piece_bpe_32k.model")
+    langs, probs = langid.fit(langid.training(documents), path)
+    known, longest = langid.pieces(path)
+    short = documents.filter(F.length("text") < 1200).orderBy("doc_id").limit(30)
+    extra = spark.createDataFrame([(-1, "l'ami der house x", None, "s", 0), (-2, "12 34 !", None, "s", 0), (-3, None, None, "s", 0)], documents.schema)
+    docs = short.unionByName(extra)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.query(documents.unionByName(extra), path).collect()}
+
+    def log_probability(word, k):
+        f = [1.0]
+        for end in range(1, len(word) + 1):
+            f.append(sum(f[a] * (probs[known[word[a:end]], k] if word[a:end] in known else langid.UNKNOWN if a == end - 1 else 0) for a in range(max(0, end - longest), end)))
+        return np.log(f[-1])
+
+    for r in docs.collect():
+        words_ = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        if not words_:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        totals = np.array([sum(log_probability(langid.MARK + w, k) for w in words_) for k in range(len(langs))])
+        best = int(np.argmax(totals))
+        assert got[r["doc_id"]][0] == langs[best] and np.isclose(got[r["doc_id"]][1], 1 / np.exp(totals - totals[best]).sum())
+
+
 def test_language_of_none_learnt(spark, documents):
     r = random.Random(7)
     odd = [" ".join("".join(r.choice(string.ascii_lowercase) for _ in range(r.randrange(3, 10))) for _ in range(20)) for _ in range(50)]
