@@ -3,7 +3,7 @@
 A log of events is partitioned by conversation and message, sorted by sequence and folded: `message` starts or
 replaces a message, `delta` appends to it, `edit` replaces its text, `regenerate` empties it so that later
 deltas write it anew, `delete` drops it. Folding streams over sorted partitions and holds one message at a time, so
-a conversation with any number of turns never sits in memory. Rendering is per message and runs in parallel.
+a conversation with any number of turns never sits in memory. Messages are then put in order and rendered as they stream.
 
 Template: <|im_start|>role NEWLINE text <|im_end|> NEWLINE. Inside roles and texts, a `<`, any number of
 backslashes and a `|` get one backslash more, so no control string can appear; reading back takes it away.
@@ -91,8 +91,16 @@ def _batch(rows: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(names)], [n for n, _ in names])
 
 
+def ordered(messages: DataFrame) -> DataFrame:
+    """Messages of a conversation together, in order of seq (nulls first), then role, then text, by code points."""
+    return messages.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
+
+
 def format_turns(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Every message rendered: chunks of one conversation in order of seq make its string; the mask covers texts of loss_roles."""
+    """Every message rendered, in the order given: chunks of one conversation make its string; the mask covers texts of loss_roles.
+
+    Null roles and texts are empty; other columns are left behind; an empty table gives no rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -103,13 +111,12 @@ def format_turns(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
                 out.append([r["conv_id"], r["seq"], role, chunk, start, length if role in loss_roles else 0])
             yield _batch(out, TURNS)
 
-    return messages.mapInArrow(run, TURNS)
+    return messages.select("conv_id", "seq", "role", "text").mapInArrow(run, TURNS)
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Per conversation, what is read back from the rendered chunks. Streams over sorted rows; only running hashes are held."""
+    """Per conversation, what is read back from the rendered chunks, which must come in order. Streams; only running hashes are held."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "chunk")
 
     def run(batches):
         at, now = None, None
@@ -136,14 +143,37 @@ def digests(turns: DataFrame) -> DataFrame:
     return turns.mapInArrow(run, schema)
 
 
+def as_log(rows: DataFrame) -> DataFrame:
+    """An event log that folds back to rows (conv_id, turn, role, text), each a message of its own.
+
+    Messages are written in four ways, in turn: whole; as a start and a delta; as a draft that is regenerated in two deltas; as a
+    draft that is edited. Later events of a message follow its turn. Rows are numbered, so a scan of files must give them.
+    """
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    a, b = F.substring("text", F.lit(1), half), F.substr("text", half + 1)
+    event = lambda j, kind, text: F.struct(F.lit(j).alias("j"), F.lit(kind).alias("kind"), text.alias("text"))
+    whole = F.array(event(0, "message", F.col("text")))
+    started = F.array(event(0, "message", a), event(1, "delta", b))
+    regenerated = F.array(event(0, "message", F.lit("draft")), event(1, "regenerate", F.lit(None).cast("string")), event(2, "delta", a), event(3, "delta", b))
+    edited = F.array(event(0, "message", F.lit("draft")), event(1, "edit", F.col("text")))
+    named = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n", F.monotonically_increasing_id())
+    way = F.col("n") % 4
+    log = named.withColumn("e", F.explode(F.when(way == 0, whole).when(way == 1, started).when(way == 2, regenerated).otherwise(edited)))
+    seq = F.when(F.col("e.j") == 0, F.col("turn")).otherwise(F.try_add(F.coalesce("turn", F.lit(0).cast("long")), F.col("e.j").cast("long")))
+    return log.select("conv_id", F.col("n").cast("string").alias("message_id"), seq.alias("seq"), "e.kind", F.when(F.col("e.j") == 0, F.col("role")).alias("role"), "e.text")
+
+
 def query(conversations: DataFrame) -> DataFrame:
-    """All conversations, as logs of whole messages, with conversation -1 added."""
+    """All conversations, as event logs, with conversation -1 added, folded, rendered and read back.
+
+    Null texts and roles are empty, null turns come first, turns that tie go by role, then text; repeated rows are turns each; null conv_ids are a
+    conversation. An empty table gives conversation -1 alone.
+    """
     spark = conversations.sparkSession
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).unionByName(extra)
-    events = rows.select("conv_id", F.lit(None).cast("string").alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    return digests(format_turns(fold(events)))
+    return digests(format_turns(ordered(fold(as_log(rows)))))
 
 
 ORACLE = r"""
@@ -152,9 +182,9 @@ WITH c AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))
     + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id

@@ -1,28 +1,25 @@
 """Exact substring dedup: a sparse suffix array, sorted deep-shallow.
 
 Every byte covered by a `length`-byte string that also starts elsewhere goes. Sorting all suffixes of a corpus isn't
-needed for that: winnowing picks anchors, the positions of the least k-gram hash in each window of length - k + 1
-positions, so each `length`-byte string holds an anchor at a place that its content alone decides. Two equal strings
-have anchors of equal k-grams at equal offsets. Hence:
-
-1. Anchors (hash, row, position) of all texts; hashes that occur once are dropped.
-2. Each other anchor's context (length - k bytes before it, `length` bytes from it) goes to its hash's group; equal
-   contexts of a task are sent once, with one small row per place.
-3. In each group, suffixes at the anchors and reversed prefixes before them are sorted deep-shallow: multikey
-   quicksort on 8-byte super-characters to a shallow depth, then blind tries order what still shares a long prefix.
-   Common prefixes of neighbours give, for each split of `length` into bytes before and after the anchor, classes of equal
-   strings; a context in a class with another, or with several places, is repeated there.
+needed for that. Winnowing gives each string an anchor: the leftmost least k-gram hash among its first `window` positions, so its content
+alone decides the anchor's offset, and equal strings have it at the same one. A place (a text's anchor, with the offsets low to high of the strings
+that have it) stands for the strings of its context: high bytes before it to length - low behind it. Hence:
+
+1. Places of all texts with two hashes: key, of the length - window + 1 bytes behind the anchor that all its strings
+   hold, and ctx, of the context. Places whose key occurs once are dropped.
+2. Places of equal contexts are one entry of the suffix array, with several places: all its strings are repeated.
+3. Keys with several contexts have a group, to which one place of each context goes. There suffixes at the anchors and reversed prefixes before them are sorted deep-shallow: multikey quicksort on 8-byte
+   super-characters to a shallow depth, then blind tries order what still shares a long prefix. Common prefixes of
+   neighbours give, for each offset, classes of equal strings; a context in a class with another is repeated there.
 4. Repeated intervals return to their rows, are merged, and cut out.
 
-No group has more than `most_places` places. A larger one is split by its context: the offsets 0 to length - k of the anchor in a
-string fall into PARTS ranges, and all strings with an offset in a range share the bytes from the range's first offset before the
-anchor to `length` less its last one behind it. Places with equal such bytes make a group of their own, one for each range. Groups of
-one place are done. So are those whose places all have one context: that's a single entry of the suffix array,
-however often it stands. What is still too large is split again, into single offsets, where a group is one string. Places are
-counted with map-side combining and joined, never gathered.
+No group has more than `most_contexts` contexts. A larger one is split by its contexts: the offsets fall into PARTS ranges, and all strings with an
+offset in a range share the bytes from the range's first offset before the anchor to `length` less its last one behind it.
+The hash of these is the place's key for that range, and steps 2 and 3 are taken again; what is then still too large is split into
+single offsets, where the places of a key have one string. Places are counted with map-side combining and joined, never gathered.
 """
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +33,7 @@ from plinth.llm.shared import row_name, written
 SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 CHUNK = 16384
-PARTS = 16
+PARTS = 8
 SHALLOW = 64
 
 
@@ -51,44 +48,45 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return up, down, words
 
 
-def window_hashes(data: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
-    """A 64-bit hash of each `size`-byte window of at most SEGMENT + 4096 bytes."""
-    n = len(data)
-    if n < size:
-        return np.empty(0, np.uint64)
-    up, down, words = _powers(base, SEGMENT + 8192)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words[data] * up[:n], out=sums[1:])
-    x = (sums[size:] - sums[:-size]) * down[: n - size + 1]
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    return x
-
-
-def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and k-gram hashes of the anchors of a text, in segments of bounded memory."""
-    n, w = len(data), length - k + 1
-    at, keys = [], []
-    for begin in range(0, max(0, n - length + 1), SEGMENT):
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def window_of(length: int, k: int) -> int:
+    """Positions among which a string's anchor is chosen."""
+    return (length - k) // 2 + 1
+
+
+def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Positions, lowest and highest offsets, keys and context hashes of a text's places, in segments of bounded memory.
+
+    A string belongs to one place. Where a segment ends within an anchor's strings, the anchor has two places.
+    """
+    w, found = window_of(length, k), []
+    up, down, words = _powers(_BASE, SEGMENT + 8192)
+    for begin in range(0, max(0, len(data) - length + 1), SEGMENT):
         part = data[begin : begin + SEGMENT + length - 1]
-        h = window_hashes(part, k)
-        m = len(h)
+        starts = len(part) - length + 1
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(words[part] * up[: len(part)], out=sums[1:])
+        m = starts + w - 1
+        h = _mixed((sums[k : k + m] - sums[:m]) * down[:m])
         v = (h & np.uint64(0xFFFFFFFFFFF80000)) | np.arange(m, dtype=np.uint64)  # leftmost of equal hashes wins
         padded = np.full(-(-m // w) * w, np.iinfo(np.uint64).max)
         padded[:m] = v
         blocks = padded.reshape(-1, w)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
-        p = (least & np.uint64(0x7FFFF)).astype(np.int64)
-        p = p[np.flatnonzero(np.diff(p, prepend=-1))]
-        at.append(p + begin)
-        keys.append(h[p])
-    if not at:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    p, first = np.unique(np.concatenate(at), return_index=True)
-    return p, np.concatenate(keys)[first]
+        p = (np.minimum(behind[:starts], ahead[w - 1 : m]) & np.uint64(0x7FFFF)).astype(np.int64)  # of each start
+        first = np.flatnonzero(np.diff(p, prepend=-1))
+        last = np.append(first[1:], starts) - 1
+        p = p[first]
+        low, high = p - last, p - first
+        key = _mixed((sums[p + length - w + 1] - sums[p]) * down[p])
+        ctx = (sums[last + length] - sums[first]) * down[first] + (low * 8192 + high).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        found.append((p + begin, low, high, key.view(np.int64), _mixed(ctx).view(np.int64)))
+    return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else [()] * 5))
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -173,22 +171,20 @@ def _order(groups: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.nda
     return np.array(order), np.array(lcp)
 
 
-def repeated(groups: np.ndarray, before: list[bytes], after: list[bytes], counts: np.ndarray, length: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated(groups: np.ndarray, before: list[bytes], after: list[bytes], length: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each context the most and the fewest bytes before the anchor, from low to high, with which a repeated string starts (-1: none).
 
-    groups must be sorted; before holds reversed prefixes; counts are the contexts' places.
+    groups must be sorted; before holds reversed prefixes.
     """
     n_before, n_after = np.array([len(x) for x in before]), np.array([len(x) for x in after])
-    most, fewest = np.minimum(n_before, high), np.maximum(low, length - n_after)
-    most[(counts < 2) | (most < fewest)] = -1
-    fewest[most < 0] = -1
+    most, fewest = np.full(len(groups), -1), np.full(len(groups), -1)
     work = np.flatnonzero(np.bincount(groups)[groups] > 1)
     if not len(work):
         return most, fewest
     g = groups[work]
     by_after, after_lcp = _order(g, [after[i] for i in work])
     by_before, before_lcp = _order(g, [before[i] for i in work])
-    na, nb, low, high, open_ = n_after[work], n_before[work], low[work], high[work], counts[work] < 2
+    na, nb, low, high = n_after[work], n_before[work], low[work], high[work]
     m = len(work)
     ra, rb = np.empty(m, np.int64), np.empty(m, np.int64)
     lo, hi = np.full(m, -1), np.full(m, -1)
@@ -206,7 +202,6 @@ def repeated(groups: np.ndarray, before: list[bytes], after: list[bytes], counts
         twice[1:] |= same
         twice[:-1] |= same
         hit = sound[o[twice]]
-        hit = hit[open_[hit]]
         hi[hit] = d
         fresh = hit[lo[hit] < 0]
         lo[fresh] = d
@@ -219,26 +214,8 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _anchor_rows(rows: DataFrame, length: int, k: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            ids, at, keys = [], [], []
-            for rk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = np.frombuffer(_bytes(text), np.uint8)
-                if len(data) >= length:
-                    p, h = anchors(data, length, k)
-                    ids += [rk] * len(p)
-                    at.append(p)
-                    keys.append(h.view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids, pa.binary()), pa.array(np.concatenate(at))], ["key", "rk", "pos"])
-
-    return rows.select("rk", "text").mapInArrow(run, "key long, rk binary, pos long")
-
-
-PLACE = "key long, ctx binary, lo int, hi int, split int, content binary, rk binary, pos long"
-RANGE = "key long, ctx long, lo int, hi int, most int, fewest int, rk binary, pos long"
-STRING = "a long, b long, rk binary, start long"
+PLACE = "key long, ctx long, lo int, hi int, rk binary, pos long"
+CONTEXT = "key long, lo int, hi int, split int, content binary, rk binary, pos long"
 SPAN = "rk binary, start long, end long"
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
@@ -260,6 +237,22 @@ def _batches(rows, schema: str, size: int = 4000):
         yield batch()
 
 
+def _anchor_rows(rows: DataFrame, length: int, k: int) -> DataFrame:
+    """PLACE rows of all texts."""
+
+    def run(batches):
+        for batch in batches:
+            for rk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = np.frombuffer(_bytes(text), np.uint8)
+                if len(data) >= length:
+                    pos, low, high, key, ctx = anchors(data, length, k)
+                    for at in range(0, len(pos), 20_000):
+                        cut = slice(at, at + 20_000)
+                        yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(ctx[cut]), pa.array(low[cut], pa.int32()), pa.array(high[cut], pa.int32()), pa.array([rk] * len(pos[cut]), pa.binary()), pa.array(pos[cut])], [c.split()[0] for c in PLACE.split(", ")])
+
+    return rows.select("rk", "text").mapInArrow(run, PLACE)
+
+
 def _per_item(texts: DataFrame, f, schema: str) -> DataFrame:
     """The rows that f(rk, data, items) gives for each row of texts (rk, text, at); items are (pos, key, lo, hi), each once."""
 
@@ -272,129 +265,98 @@ def _per_item(texts: DataFrame, f, schema: str) -> DataFrame:
 
 
 def _context_rows(texts: DataFrame, length: int) -> DataFrame:
-    """PLACE rows of items; a content comes with its first row in a task only."""
-    sent: set[tuple[int, bytes]] = set()
+    """CONTEXT rows of items: content from hi bytes before the anchor on, which is at split."""
 
     def of(rk, data, items):
         for pos, key, lo, hi in items:
-            start = max(0, pos - hi)
-            content = data[start : pos + length - lo]
-            ctx = xxhash.xxh3_128_digest(content, pos - start)
-            new = (key, ctx) not in sent
-            if new:
-                if len(sent) > 300_000:
-                    sent.clear()
-                sent.add((key, ctx))
-            yield key, ctx, lo, hi, pos - start, content if new else None, rk, pos
+            yield key, lo, hi, hi, data[pos - hi : pos + length - lo], rk, pos
 
-    return _per_item(texts, of, PLACE)
+    return _per_item(texts, of, CONTEXT)
 
 
-def _range_rows(texts: DataFrame, length: int) -> DataFrame:
-    """RANGE rows: each item's offsets lo to hi in PARTS ranges. key: what all strings with an offset in the range share; ctx: all that they reach."""
+def _range_rows(texts: DataFrame, length: int, window: int, step: int) -> DataFrame:
+    """PLACE rows of items in ranges of `step` offsets. key: of what all strings with an offset in the range share; ctx: of all that they reach."""
 
     def of(rk, data, items):
         for pos, key, lo, hi in items:
-            step = -(-(hi - lo + 1) // PARTS)
-            for a in range(lo, hi + 1, step):
-                b = min(hi, a + step - 1)
-                most, fewest = min(b, pos), max(a, length - len(data) + pos)
-                if fewest <= most:
-                    shared = xxhash.xxh3_64_intdigest(data[pos - a : pos + length - b], (key ^ a * 0x9E3779B97F4A7C15) % (1 << 64))
-                    reached = data[max(0, pos - b) : pos + length - a]
-                    yield shared - (1 << 63), xxhash.xxh3_64_intdigest(reached, min(pos, b)) - (1 << 63), a, b, most, fewest, rk, pos
-
-    return _per_item(texts, of, RANGE)
-
+            for a in range(lo // step * step, hi + 1, step):
+                b = min(window, a + step) - 1
+                low, high = max(a, lo), min(b, hi)
+                shared = xxhash.xxh3_64_intdigest(data[pos - a : pos + length - b], (key ^ a * _BASE) % (1 << 64))
+                reached = xxhash.xxh3_64_intdigest(data[pos - high : pos + length - low], low << 32 | high)
+                yield shared - (1 << 63), reached - (1 << 63), low, high, rk, pos
 
-def _string_rows(texts: DataFrame, length: int) -> DataFrame:
-    """STRING rows: the strings of items at each offset, once for each start in a text."""
-
-    def of(rk, data, items):
-        starts = {pos - d for pos, _, lo, hi in items for d in range(max(lo, length - len(data) + pos), min(hi, pos) + 1)}
-        for start in sorted(starts):
-            x = xxhash.xxh3_128_intdigest(data[start : start + length])
-            yield (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), rk, start
-
-    return _per_item(texts, of, STRING)
+    return _per_item(texts, of, PLACE)
 
 
 def _intervals(contexts: DataFrame, length: int) -> DataFrame:
-    """SPAN rows of repeated bytes. Rows stream in order of key, contents first: memory is the contexts of CHUNK rows or of one group."""
-    dealt = contexts.repartition("key").withColumn("member", F.col("content").isNull()).sortWithinPartitions("key", "ctx", "member")
+    """SPAN rows of repeated bytes. Rows stream in order of key: memory is CHUNK contexts, or those of one group."""
+    dealt = contexts.repartition("key").sortWithinPartitions("key")
 
-    def flush(groups, ranges, contents, counts, places):
+    def flush(groups, held):
         if groups:
-            before = [c[:s][::-1] for c, (s, _, _) in zip(contents, ranges)]
-            after = [c[s:] for c, (s, _, _) in zip(contents, ranges)]
-            most, fewest = repeated(np.array(groups), before, after, np.array(counts), length, np.array([x[1] for x in ranges]), np.array([x[2] for x in ranges]))
-            for who, rk, pos in places:
-                if most[who] >= 0:
-                    yield rk, pos - int(most[who]), pos - int(fewest[who]) + length
+            before = [c[:s][::-1] for _, _, s, c, _, _ in held]
+            after = [c[s:] for _, _, s, c, _, _ in held]
+            most, fewest = repeated(np.array(groups), before, after, length, np.array([x[0] for x in held]), np.array([x[1] for x in held]))
+            for (_, _, _, _, rk, pos), m, f in zip(held, most.tolist(), fewest.tolist()):
+                if m >= 0:
+                    yield rk, pos - m, pos - f + length
 
     def rows(batches):
-        at, ctx, group = None, None, -1
-        groups, ranges, contents, counts, places = [], [], [], [], []
+        at, groups, held = None, [], []
         for batch in batches:
-            for key, c, lo, hi, split, content, rk, pos in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if key != at:
-                    if len(groups) + len(places) // 8 >= CHUNK:
-                        yield from flush(groups, ranges, contents, counts, places)
-                        groups, ranges, contents, counts, places, group = [], [], [], [], [], -1
-                    at, ctx, group = key, None, group + 1
-                if c != ctx:
-                    ctx = c
-                    groups.append(group)
-                    ranges.append((split, lo, hi))
-                    contents.append(content)
-                    counts.append(0)
-                counts[-1] += 1
-                places.append((len(groups) - 1, rk, pos))
-        yield from flush(groups, ranges, contents, counts, places)
-
-    return dealt.select("key", "ctx", "lo", "hi", "split", "content", "rk", "pos").mapInArrow(lambda batches: _batches(rows(batches), SPAN), SPAN)
-
-
-def _lists(places: DataFrame) -> DataFrame:
-    return places.groupBy("rk").agg(F.collect_list(F.struct("pos", "key", "lo", "hi")).alias("at"))
-
-
-def _split(dealt: DataFrame, hot: DataFrame, length: int, most_places: int) -> tuple[DataFrame, DataFrame]:
-    """(items for groups of at most most_places places, SPAN rows found already) of the items hot, whose groups are larger."""
-    texts = lambda items: dealt.join(_lists(items), "rk")
-    ranges = written(_range_rows(texts(hot), length), "ranges")
-    # written: both sides of the join are then shuffled for it, so that Spark can split a hot key
-    groups = written(ranges.groupBy("key").agg(F.count("*").alias("places"), F.min("ctx").alias("least"), F.max("ctx").alias("greatest")).filter("places > 1"), "groups")
-    open_ = ranges.join(groups, "key")
-    one = open_.filter("least = greatest").select("rk", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("fewest") + length).alias("end"))
-    several = open_.filter("least < greatest").select("key", "lo", "hi", "rk", "pos", (F.col("places") > most_places).alias("hot"))
-    strings = written(_string_rows(texts(several.filter("hot")), length), "strings")
-    twice = written(strings.groupBy("a", "b").agg(F.count("*").alias("places")).filter("places > 1").select("a", "b"), "repeated_strings")
-    found = strings.join(twice, ["a", "b"]).select("rk", "start", (F.col("start") + length).alias("end"))
-    return several.filter(~F.col("hot")).drop("hot"), one.unionByName(found)
-
-
-def dedup(docs: DataFrame, length: int = 400, k: int = 32, most_places: int = 20_000, least_words: int = 0, rest: list | None = None) -> DataFrame:
+            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if key != at and len(groups) >= CHUNK:
+                    yield from flush(groups, held)
+                    groups, held = [], []
+                groups.append(groups[-1] + (key != at) if groups else 0)
+                held.append(row)
+                at = key
+        yield from flush(groups, held)
+
+    return dealt.mapInArrow(lambda batches: _batches(rows(batches), SPAN), SPAN)
+
+
+def _sorted_out(places: DataFrame, length: int, most_contexts: int) -> tuple[DataFrame, DataFrame]:
+    """(SPAN rows, items) of places whose key occurs again: of equal contexts all strings are repeated; items are a place of each context of keys
+    with several, with many: whether these are too many for a group."""
+    # aggregates are written: both sides of a join are then shuffled for it, so that Spark can split a hot key
+    keys = written(places.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("least"), F.max("ctx").alias("greatest")).filter("n > 1"), "keys")
+    again = written(places.join(keys, "key").select(*places.columns, (F.col("least") == F.col("greatest")).alias("one")), "again")
+    several = again.filter("NOT one")
+    contexts = written(several.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rk", "pos", "lo", "hi")).alias("x")), "contexts")
+    sizes = written(contexts.groupBy("key").agg(F.count("*").alias("m")), "sizes")
+    equal = again.filter("one").unionByName(several.join(contexts.filter("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi"))
+    spans = equal.select("rk", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))
+    return spans, contexts.join(sizes, "key").select("key", "x.*", (F.col("m") > most_contexts).alias("many"))
+
+
+def dedup(docs: DataFrame, length: int = 400, k: int = 32, most_contexts: int = 5_000, least_words: int = 0, rest: list | None = None) -> DataFrame:
     """(doc_id, rk, n_bytes, spans, kept) of each row of docs (doc_id, text): repeated runs and the bytes that are left.
 
     Null texts are empty. Texts shorter than `length` stay whole; repeated rows repeat each other. Matches within one
     text count, overlapping ones too. An empty table gives no rows. least_words: runs of fewer words (at white space, parts of words
-    count) stay. rk is a 128-bit name of (doc_id, text). rest: columns carried along as a struct `rest`. most_places bounds what a
+    count) stay. rk is a 128-bit name of (doc_id, text). rest: columns carried along as a struct `rest`. most_contexts bounds what a
     task holds of one group and changes no result.
     """
     extra = F.struct(*rest) if rest else F.lit(None).cast("struct<none:boolean>")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), extra.alias("rest")).withColumn("rk", row_name(F.col("doc_id"), F.col("text")))
-    found = written(_anchor_rows(rows, length, k), "anchors")
-    twice = written(found.groupBy("key").agg(F.count("*").alias("places")).filter("places > 1"), "keys")
-    again = written(found.join(twice, "key").select("key", F.lit(0).alias("lo"), F.lit(length - k).alias("hi"), "rk", "pos", (F.col("places") > most_places).alias("hot")), "repeated")
     dealt = rows.select("rk", "doc_id", "text", "rest").repartition("rk")
     # all uses of dealt read all its columns, so that one shuffle serves them
-    contexts = lambda items: _context_rows(dealt.join(_lists(items), "rk").select("rk", "text", "at", "doc_id", "rest"), length)
-    places, spans = contexts(again.filter(~F.col("hot"))), None
-    if not again.filter("hot").isEmpty():
-        items, spans = _split(dealt, again.filter("hot"), length, most_places)
-        places = places.unionByName(contexts(items))
-    spans = _intervals(places, length) if spans is None else _intervals(places, length).unionByName(spans)
+    texts = lambda items: dealt.join(items.groupBy("rk").agg(F.collect_list(F.struct("pos", "key", "lo", "hi")).alias("at")), "rk").select("rk", "text", "at", "doc_id", "rest")
+    window = window_of(length, k)
+    spans, few = [], []
+    places = written(_anchor_rows(rows, length, k), "places")
+    for step in (-(-window // PARTS), 1, None):
+        equal, items = _sorted_out(places, length, most_contexts)
+        spans.append(equal)
+        few.append(items.filter("NOT many").drop("many"))
+        many = items.filter("many").drop("many")
+        if step is None or many.isEmpty():
+            break
+        places = written(_range_rows(texts(many), length, window, step), "ranges")
+    contexts = _context_rows(texts(reduce(DataFrame.unionByName, few)), length)
+    spans = reduce(DataFrame.unionByName, spans, _intervals(contexts, length))
     by_row = spans.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
     def cut(batches):

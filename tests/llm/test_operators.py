@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from plinth.llm import bpe, chat, langid, merkle, ngramjoin, packing, pii, suffixdedup, topk, urlfilter
@@ -41,6 +42,10 @@ def documents(spark, sf):
     return table(spark, sf, "documents")
 
 
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
 def key(x):
     return [(v is not None, v) for v in x]
 
@@ -68,10 +73,10 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [20_000, 3])
+@pytest.mark.parametrize("most", [5_000, 3])
 def test_suffix_dedup(spark, documents, awkward, most):
     small = documents.select("doc_id", "text").filter(F.length("text") < 6000).unionByName(awkward.filter(F.length("text") < 6000).select("doc_id", "text"))
-    got = suffixdedup.dedup(small, most_places=most)
+    got = suffixdedup.dedup(small, most_contexts=most)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     mine = Counter(tuple(r) for r in got.select("doc_id", "n_bytes", removed, F.size("spans"), F.sha2("kept", 256)).collect())
     listed = [tuple(r) for r in small.collect()]
@@ -94,8 +99,8 @@ def test_suffix_dedup_hot_passage(spark):
     texts = [f"{text_of(9 + 7 * (i % 5), 100 + i)} {passage} {text_of(11 + 3 * (i % 4), 900 + i)}" for i in range(40)] + [text_of(40 + i, 2000 + i) for i in range(80)] + [text_of(9000, 1), text_of(3000, 1), text_of(5000, 2) + passage]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = dict(enumerate(brute_repeats(texts, 400)))
-    for most in (20_000, 10):
-        got = {x["doc_id"]: (x["n_bytes"], sum(s["end"] - s["start"] for s in x["spans"]), len(x["spans"]), hashlib.sha256(x["kept"]).hexdigest()) for x in suffixdedup.dedup(docs, most_places=most).collect()}
+    for most in (5_000, 10):
+        got = {x["doc_id"]: (x["n_bytes"], sum(s["end"] - s["start"] for s in x["spans"]), len(x["spans"]), hashlib.sha256(x["kept"]).hexdigest()) for x in suffixdedup.dedup(docs, most_contexts=most).collect()}
         assert got == want
 
 
@@ -211,7 +216,8 @@ def test_pii_long_ip_parts():
 
 
 def test_chat_digests(spark, sf):
-    c = table(spark, sf, "conversations").unionByName(spark.createDataFrame([(7_000_000, 0, "user", None), (7_000_000, 0, "user", None), (7_000_000, 1, None, "x<|y\\|<\\|"), (None, 3, "a\nb\\", "<|im_end|>")], "conv_id long, turn long, role string, text string"))
+    c = table(spark, sf, "conversations").unionByName(spark.createDataFrame([(7_000_000, 0, "user", None), (7_000_000, 0, "user", None), (7_000_000, 1, None, "x<|y\\|<\\|"), (None, 3, "a\nb\\", "<|im_end|>"), (7_000_001, 2, "assistant", "a b"), (7_000_001, 2, "assistant", "a"), (7_000_001, 2, "assistant", "a"), (7_000_001, None, "assistant", LONG), (7_000_001, 0, "user", "<" * 3000)], "conv_id long, turn long, role string, text string"))
+    c = c.withColumn("seq", F.lit(1)).withColumn("kind", F.lit("delete")).withColumn("chunk", F.lit("x"))
     want = defaultdict(list)
     for r in c.collect():
         want[r["conv_id"]].append((r["turn"], r["role"] or "", r["text"] or ""))
@@ -219,7 +225,7 @@ def test_chat_digests(spark, sf):
     got = {r["conv_id"]: r for r in chat.query(c).collect()}
     assert got.keys() == want.keys()
     for k, turns in want.items():
-        turns.sort()
+        turns.sort(key=lambda x: (x[0] is not None, x))
         r = got[k]
         loss = "".join(t for _, role, t in turns if role == "assistant")
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), hashlib.sha256("".join(f"{a}\n{t}\n" for _, a, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
@@ -245,23 +251,37 @@ def brute_top(vectors, asked, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard,block", [(16384, 2048), (40, 3)])
-def test_top_k(spark, shard, block):
+@pytest.mark.parametrize("shard", [16384, 40])
+def test_top_k(spark, shard):
     r = random.Random(4)
     vectors = [(i, [r.choice([-1.0, 0.0, 0.5, 0.004, r.gauss(0, 1)]) for _ in range(6)]) for i in range(260)]
     vectors += [(260, [0.0] * 6), (300, [0.0] * 6), (350, [float("nan")] * 6), (351, None), (352, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (353, [float("inf")] * 6), (354, [2.0]), (400, [2.0]), (10, vectors[10][1]), (None, [1.0] * 6), (450, []), (451, []), (500, [3e6] * 6), (501, [3e6] * 6)]
-    df = spark.createDataFrame([(i, v, 0, 1) for i, v in vectors], "vec_id long, embedding array<float>, score int, rank int")
+    vectors += [vectors[100]] * 2 + [(100, [0.25] * 6)] + [(7, [9.0] * 6)] * 9  # repeated queries, one id with another vector, a candidate more than k times
+    df = spark.createDataFrame([(i, v, 0, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, score int, rank int, q int")
     sound = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    got = rows(topk.top_k(df, df.filter(F.col("vec_id") % 50 == 0), shard_rows=shard, block_rows=block), "query_id", "rank", "vec_id", "score")
+    got = rows(topk.top_k(df, df.filter(F.col("vec_id") % 50 == 0), shard_rows=shard), "query_id", "rank", "vec_id", "score")
     assert got == brute_top(sound, [x for x in sound if x[0] % 50 == 0], 5)
 
 
-def test_top_k_stops_early():
+def test_top_k_stops_by_the_bound_only():
     rng = np.random.default_rng(0)
-    rows_ = np.floor(rng.normal(size=(20000, 4)) * 256)
-    lists = topk.Lists(np.arange(20000), rows_)
-    best, scores, depth = lists.top(-1, rows_[7], 5)
-    assert depth < 4000 and scores.tolist() == sorted((rows_ @ rows_[7]).tolist(), reverse=True)[:5]
+    for dims, early in ((4, True), (64, False)):
+        rows_ = np.floor(rng.normal(size=(20000, dims)) * 256)
+        lists = topk.Lists(np.arange(20000), rows_)
+        best, scores, scored, depth = lists.top(-1, rows_[7], 5)
+        assert scores.tolist() == sorted((rows_ @ rows_[7]).tolist(), reverse=True)[:5]
+        # the depth read is the first of 8, 16, 32, ... at which no unread row can win
+        bound = lambda d: sum(max(q * lists.sorted[20000 - d, i], q * lists.sorted[d - 1, i]) if q else 0 for i, q in enumerate(rows_[7]))
+        assert scores[-1] > bound(depth) and scores[-1] <= bound(depth // 2) and (scored < 8000) == early
+
+
+def test_top_k_near_copies_are_found_early():
+    # 64 dimensions: where the k best stand out, the bound bites
+    rng = np.random.default_rng(1)
+    rows_ = np.floor(rng.normal(size=(20000, 64)) * 40)
+    rows_[:6] = rows_[0] + 300 * np.sign(rows_[0])
+    _, _, scored, depth = topk.Lists(np.arange(20000), rows_).top(0, rows_[0], 5)
+    assert depth < 64 and scored < 4000
 
 
 # --- op5
@@ -474,9 +494,11 @@ def test_href_quotes(spark):
 
 def test_fingerprints(spark, documents, awkward):
     docs = documents.select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
-    for bucket_rows in (2048, 10):
+    # null ids and one id with many rows, some of them equal: with small buckets these are split
+    docs = docs.unionByName(spark.createDataFrame([(None, f"null {i % 9}") for i in range(30)] + [(12, f"same {i % 40}\n\nid") for i in range(60)], "doc_id long, text string"))
+    for bucket_rows in (2048, 10, 1):
         rows_ = merkle.with_next(docs, bucket_rows=bucket_rows)
-        listed = sorted(((i, t or "") for i, t in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+        listed = sorted(((i, t or "") for i, t in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, signed(xxhash.xxh64_intdigest(x[1], 42)), x[1].encode()))
         want = Counter((i, t, listed[(k + 1) % len(listed)][1]) for k, (i, t) in enumerate(listed))
         assert Counter(tuple(r) for r in rows_.collect()) == want
     got = merkle.query(docs).collect()
@@ -497,6 +519,39 @@ def test_fingerprints(spark, documents, awkward):
     assert "Python" not in merkle.query(docs)._jdf.queryExecution().toString()
 
 
+def brute_fingerprint(text):
+    short = lambda x, n: hashlib.sha256(x.encode()).hexdigest()[:n]
+    sections = []
+    for section in (text or "").split("\n\n"):
+        paragraphs = []
+        for paragraph in section.split("\n"):
+            leaves = ",".join(f"{xxhash.xxh64_intdigest(x, 42):016x}" for x in re.findall(r"(?:\S{1,48}\s*){1,8}|\s+", paragraph, re.A))
+            paragraphs.append(f"{short(leaves, 16)}={leaves}")
+        body = ";".join(paragraphs)
+        sections.append(f"{short(body, 16)}:{body}")
+    body = "|".join(sections)
+    return f"{short(body, 32)}|{body}"
+
+
+def test_fingerprints_by_brute_force(spark, documents):
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a\n\n\nb \t c\n" + "x" * 200), (-4, "\n\n"), (-5, " \u00a0 "), (-6, LONG)], "doc_id long, text string"))
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ids = sorted(text)
+    leaves = lambda f: set(re.findall(r"(?<=[=,])[0-9a-f]{16}", f))
+
+    def like(f, g):
+        a, b = leaves(f), leaves(g)
+        return 1.0 if f == g or not a and not b else 2 * len(a & b) / (len(a) + len(b))
+
+    for r in merkle.query(docs).collect():
+        i = r["doc_id"]
+        t, after = text[i], text[ids[(ids.index(i) + 1) % len(ids)]]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        f, e = brute_fingerprint(t), brute_fingerprint(edited)
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (f, e)
+        assert np.isclose(r["near_edited"], like(f, e)) and np.isclose(r["near_next"], like(f, brute_fingerprint(after)))
+
+
 def test_fingerprint_locates_edits(spark):
     a = "one two\nthree four\n\nfive six\nseven"
     df = spark.createDataFrame([(a, a.replace("five", "5")), (a, a), ("", "")], "a string, b string")
