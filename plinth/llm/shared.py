@@ -50,9 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and lost executors cost nothing."""
+    """df as a table in the shared folder: lineage ends there and lost executors cost nothing.
+
+    What earlier tables were shuffled through is garbage by now; Spark deletes such files when the driver collects it.
+    """
     spark = df.sparkSession
     short_batches(spark)
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/plinth/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

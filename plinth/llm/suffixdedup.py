@@ -54,8 +54,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def window_of(length: int, k: int) -> int:
-    """Positions among which a string's anchor is chosen."""
-    return (length - k) // 2 + 1
+    """Positions among which a string's anchor is chosen: more make fewer places, less make keys that tell more apart."""
+    return (length - k) * 3 // 4 + 1
 
 
 def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -214,7 +214,8 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-PLACE = "key long, ctx long, lo int, hi int, rk binary, pos long"
+#: at: pos, high and low offset in one number, of 12 bits each for the offsets.
+PLACE = "key long, ctx long, rk binary, at long"
 CONTEXT = "key long, lo int, hi int, split int, content binary, rk binary, pos long"
 SPAN = "rk binary, start long, end long"
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -248,7 +249,7 @@ def _anchor_rows(rows: DataFrame, length: int, k: int) -> DataFrame:
                     pos, low, high, key, ctx = anchors(data, length, k)
                     for at in range(0, len(pos), 20_000):
                         cut = slice(at, at + 20_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(ctx[cut]), pa.array(low[cut], pa.int32()), pa.array(high[cut], pa.int32()), pa.array([rk] * len(pos[cut]), pa.binary()), pa.array(pos[cut])], [c.split()[0] for c in PLACE.split(", ")])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(ctx[cut]), pa.array([rk] * len(pos[cut]), pa.binary()), pa.array(pos[cut] << 24 | high[cut] << 12 | low[cut])], [c.split()[0] for c in PLACE.split(", ")])
 
     return rows.select("rk", "text").mapInArrow(run, PLACE)
 
@@ -284,7 +285,7 @@ def _range_rows(texts: DataFrame, length: int, window: int, step: int) -> DataFr
                 low, high = max(a, lo), min(b, hi)
                 shared = xxhash.xxh3_64_intdigest(data[pos - a : pos + length - b], (key ^ a * _BASE) % (1 << 64))
                 reached = xxhash.xxh3_64_intdigest(data[pos - high : pos + length - low], low << 32 | high)
-                yield shared - (1 << 63), reached - (1 << 63), low, high, rk, pos
+                yield shared - (1 << 63), reached - (1 << 63), rk, pos << 24 | high << 12 | low
 
     return _per_item(texts, of, PLACE)
 
@@ -320,15 +321,17 @@ def _intervals(contexts: DataFrame, length: int) -> DataFrame:
 def _sorted_out(places: DataFrame, length: int, most_contexts: int) -> tuple[DataFrame, DataFrame]:
     """(SPAN rows, items) of places whose key occurs again: of equal contexts all strings are repeated; items are a place of each context of keys
     with several, with many: whether these are too many for a group."""
-    # aggregates are written: both sides of a join are then shuffled for it, so that Spark can split a hot key
+    # aggregates are written: both sides of a join are then shuffled for it (neither has a bound), so that Spark can split a hot key
     keys = written(places.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("least"), F.max("ctx").alias("greatest")).filter("n > 1"), "keys")
-    again = written(places.join(keys, "key").select(*places.columns, (F.col("least") == F.col("greatest")).alias("one")), "again")
+    again = written(places.hint("merge").join(keys, "key").select(*places.columns, (F.col("least") == F.col("greatest")).alias("one")), "again")
     several = again.filter("NOT one")
-    contexts = written(several.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rk", "pos", "lo", "hi")).alias("x")), "contexts")
+    contexts = written(several.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rk", "at")).alias("x")), "contexts")
     sizes = written(contexts.groupBy("key").agg(F.count("*").alias("m")), "sizes")
-    equal = again.filter("one").unionByName(several.join(contexts.filter("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi"))
-    spans = equal.select("rk", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))
-    return spans, contexts.join(sizes, "key").select("key", "x.*", (F.col("m") > most_contexts).alias("many"))
+    equal = again.filter("one").unionByName(several.hint("merge").join(contexts.filter("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi"))
+    pos, hi, lo = F.shiftright("at", 24), F.shiftright("at", 12).bitwiseAND(4095), F.col("at").bitwiseAND(4095)
+    spans = equal.select("rk", (pos - hi).alias("start"), (pos - lo + length).alias("end"))
+    items = contexts.hint("merge").join(sizes, "key").select("key", "x.*", "m")
+    return spans, items.select("key", "rk", pos.alias("pos"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), (F.col("m") > most_contexts).alias("many"))
 
 
 def dedup(docs: DataFrame, length: int = 400, k: int = 32, most_contexts: int = 5_000, least_words: int = 0, rest: list | None = None) -> DataFrame:
@@ -339,11 +342,13 @@ def dedup(docs: DataFrame, length: int = 400, k: int = 32, most_contexts: int =
     count) stay. rk is a 128-bit name of (doc_id, text). rest: columns carried along as a struct `rest`. most_contexts bounds what a
     task holds of one group and changes no result.
     """
+    if not k < length < 4096:
+        raise ValueError("a string needs more bytes than an anchor, and less than 4096")
     extra = F.struct(*rest) if rest else F.lit(None).cast("struct<none:boolean>")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), extra.alias("rest")).withColumn("rk", row_name(F.col("doc_id"), F.col("text")))
     dealt = rows.select("rk", "doc_id", "text", "rest").repartition("rk")
     # all uses of dealt read all its columns, so that one shuffle serves them
-    texts = lambda items: dealt.join(items.groupBy("rk").agg(F.collect_list(F.struct("pos", "key", "lo", "hi")).alias("at")), "rk").select("rk", "text", "at", "doc_id", "rest")
+    texts = lambda items: dealt.hint("merge").join(items.groupBy("rk").agg(F.collect_list(F.struct("pos", "key", "lo", "hi")).alias("at")), "rk").select("rk", "text", "at", "doc_id", "rest")
     window = window_of(length, k)
     spans, few = [], []
     places = written(_anchor_rows(rows, length, k), "places")
@@ -378,7 +383,7 @@ def dedup(docs: DataFrame, length: int = 400, k: int = 32, most_contexts: int =
                 kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), batch.column(4)], ["rk", "doc_id", "n_bytes", "spans", "kept", "rest"])
 
-    joined = dealt.join(by_row, "rk", "left").select("rk", "doc_id", "text", "runs", "rest")
+    joined = dealt.hint("merge").join(by_row, "rk", "left").select("rk", "doc_id", "text", "runs", "rest")
     out = T.StructType([T.StructField("rk", T.BinaryType()), joined.schema["doc_id"], *T._parse_datatype_string("n_bytes long, spans array<struct<start:long,end:long>>, kept binary").fields, joined.schema["rest"]])
     return joined.mapInArrow(cut, out).withColumn("doc_id", F.col("doc_id").cast("long"))
 
