@@ -106,8 +106,8 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, end_id: i
     """Places every id of every document (doc_id, text) into sequences of at most `length` tokens.
 
     Null and empty texts hold the end id alone; repeated rows are documents of their own; an empty table gives
-    no rows. Groups are dealt by a seeded hash of id and content, about group_docs documents each, so a key
-    that many rows share doesn't make a large group. Ties are broken by doc_id, then checksum.
+    no rows. Groups are dealt by a seeded hash of id, content and input partition, about group_docs documents each, so neither a key that many
+    rows share nor rows that are equal make a large group. Ties are broken by doc_id, then checksum.
     """
     groups = max(1, -(-docs.count() // group_docs))
 
@@ -131,5 +131,5 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, end_id: i
             filled[b] = row[6] + row[2]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
 
-    dealt = pieces(docs, path, pattern, length, end_id).withColumn("g", F.pmod(F.xxhash64("doc_id", "sums", F.lit(seed)), F.lit(groups)))
+    dealt = pieces(docs, path, pattern, length, end_id).withColumn("g", F.pmod(F.xxhash64("doc_id", "sums", F.spark_partition_id(), F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("g").applyInPandas(place, SCHEMA)

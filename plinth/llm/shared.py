@@ -2,7 +2,6 @@
 
 import itertools
 import re
-import tempfile
 import uuid
 
 import regex
@@ -10,6 +9,8 @@ from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.session import shared_dir
+
 #: A batch between the JVM and Python: rows hold whole texts, so Spark's defaults (10,000 rows, 64 MB) would be much on each side.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
@@ -38,17 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none and runs on this machine alone (tests) is one made."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="plinth-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there and lost executors cost nothing.
 

@@ -19,7 +19,6 @@ _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: A value in double or single quotes, which may hold the other quote, or without.
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"#][^"]*"|'[^'#][^']*'|[^\s"'>#][^\s>]*)"""
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MOST_RULES = 1000
 #: Relative: a table's size changes the ranks, not their ratio.
 TOLERANCE = 1e-6
 #: Rounds in a plan: then the ranks are written and compared with the last written ones.
@@ -35,16 +34,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def matching_rule(host: Column, path: Column, rules) -> Column:
-    """Struct (rule, verdict) of the longest rule that fits, null if none. The list's size is checked; it is part of the plan."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} can be part of a plan")
-    found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    # later ones win: shorter rules first, at equal length allow before block
-    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), len(r[1]), r[0] == "block")):
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        found = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
-    return found
+def with_rule(rows: DataFrame, rules: DataFrame, name: str) -> DataFrame:
+    """rows (with host and path) with a struct `name` (rule, verdict) of the longest rule (verdict, host, path) that fits; null if none.
+
+    Rules are joined by host: each host that occurs is looked up with all its suffixes, so their number makes no plan longer. Of
+    rules of equal length the one with the longer host wins, then block over allow. Spark broadcasts a side only while it is small.
+    """
+    hosts = rows.select("host").distinct()
+    labels = F.split("host", "[.]")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    by_host = hosts.select("host", F.explode(F.array_distinct(suffixes)).alias("suffix")).join(rules.select(F.col("host").alias("suffix"), F.col("path").alias("p"), "verdict"), "suffix")
+    order = (F.char_length("suffix") + F.char_length("p"), F.char_length("suffix"), (F.col("verdict") == "block").cast("int"))
+    fits = written(by_host.groupBy("host").agg(F.collect_list(F.struct(order[0].alias("n"), order[1].alias("h"), order[2].alias("b"), F.concat("suffix", "p").alias("rule"), "verdict", "p")).alias("_fits")), "rules_of_hosts")
+    best = F.array_max(F.filter("_fits", lambda x: F.col("path").startswith(x["p"])))
+    found = F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
+    return rows.join(fits, "host", "left").withColumn(name, found).drop("_fits")
 
 
 def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -95,13 +99,16 @@ def by_links(edges: DataFrame, seeds: DataFrame, ratio: float = 1.0, **options)
 
 
 def judge(pages: DataFrame, rules=RULES, ratio: float = 1.0) -> DataFrame:
-    """pages (page_id, url, html) with host, path, rule, verdict, trust and distrust.
+    """pages (page_id, url, html) with host, path, rule, verdict, trust and distrust. rules: a table or list of (verdict, host, path).
 
     Null urls have an empty host and path, fit no rule and are allowed. Null html has no links. Repeated rows are
     judged each. An empty table gives no rows.
     """
     base = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    base = base.withColumn("m", matching_rule(F.col("host"), F.col("path"), rules))
+    if not isinstance(rules, DataFrame):
+        each = [F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules]
+        rules = pages.sparkSession.range(1).select(F.inline(F.array(*each)))
+    base = with_rule(base, rules, "m")
     seeds = base.filter("m IS NOT NULL").groupBy("host").agg(F.sum((F.col("m.verdict") == "allow").cast("long")).alias("trust"), F.sum((F.col("m.verdict") == "block").cast("long")).alias("distrust"))
     hosts = by_links(host_edges(base), seeds, ratio)
     known = base.select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("verdict"))

@@ -459,6 +459,22 @@ def test_url_filters(spark, sf):
     assert "Python" not in plan and "Cartesian" not in plan
 
 
+def test_many_rules(spark):
+    # a table of rules, more than a plan could hold; the longest wins, then the longer host, then block
+    rules = [("block" if i % 3 else "allow", f"h{i % 700}.net", f"/p{i}/") for i in range(20_000)] + [("allow", "net", "/p7/x/"), ("block", "h7.net", "/p7/"), ("allow", "h7.net", "/p7/"), ("allow", "a.com", "/bc"), ("block", "com", "/bc/d")]
+    table_ = spark.createDataFrame(rules, "verdict string, host string, path string")
+    pages = spark.createDataFrame([(i, f"http://{'www.' * (i % 2)}h{i % 701}.net/p{i}/q", "") for i in range(1500)] + [(9000, "http://www.h7.net/p7/x/", ""), (9001, "http://h7.net/p7/y", ""), (9002, "http://a.com/bc/d", ""), (9003, "http://..net/p7/x/", "")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(pages, table_).filter("rule IS NOT NULL").collect()}
+    want = {}
+    for i, u, _ in pages.collect():
+        _, _, rest = u.partition("://")
+        h, _, p = rest.partition("/")
+        fits = [(len(a) + len(b), len(a), v == "block", a + b, v) for v, a, b in rules if (h == a or h.endswith("." + a)) and ("/" + p).startswith(b)]
+        if fits:
+            want[i] = max(fits)[3:]
+    assert got == want and len(want) > 700
+
+
 def test_url_verdicts_of_tiny_shares(spark):
     # one of a thousand hosts that link to a host with one of a million blocked pages
     edges = spark.createDataFrame([(f"h{i}.net", "spam.org", 1) for i in range(1000)], "src string, dst string, n long")
