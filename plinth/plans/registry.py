@@ -1,7 +1,6 @@
 """Queries of the engine and their SQL."""
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from plinth.operators import temporal
 from plinth.plans import surface
 from plinth.plans.relational import LINES
 from plinth.plans.relational import SQL as RELATIONAL
+from plinth.session import shared_dir
 
 SQL = RELATIONAL | surface.SQL
 
@@ -19,7 +19,7 @@ def engine(spark: SparkSession, sf_dir: str, sql: str, warehouse: bool = False)
     """An engine that knows the tables which a text names."""
     folder = None
     if warehouse:  # the shared folder where there is one
-        folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='plinth-')}/warehouse-{os.urandom(6).hex()}"
+        folder = f"{shared_dir(spark)}/warehouse-{os.urandom(6).hex()}"
     out = Engine(spark, folder)
     for name in LINES.split():
         if name in sql:

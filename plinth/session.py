@@ -1,5 +1,7 @@
 """Spark sessions with the settings that the engine's semantics need."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Semantics only; sizes and parallelism belong to the cluster.
@@ -13,6 +15,18 @@ SETTINGS = {
 }
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share. Only where the session names none and runs on this machine alone (tests) is one made."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="plinth-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def session(master: str | None = None, **settings: str) -> SparkSession:
     """A session; without a master, what spark-submit gives. Local ones get as many shuffle partitions as threads."""
     builder = SparkSession.builder.appName("plinth")
