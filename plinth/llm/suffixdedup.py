@@ -61,7 +61,8 @@ def window_of(length: int, k: int) -> int:
 def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     """Positions, lowest and highest offsets, keys and context hashes of a text's places, in segments of bounded memory.
 
-    A string belongs to one place. Where a segment ends within an anchor's strings, the anchor has two places.
+    A string belongs to one place. Where a segment ends within an anchor's strings, the anchor has two places. Of places
+    with equal contexts that follow each other, some are left out.
     """
     w, found = window_of(length, k), []
     up, down, words = _powers(_BASE, SEGMENT + 8192)
@@ -84,8 +85,12 @@ def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
         p = p[first]
         low, high = p - last, p - first
         key = _mixed((sums[p + length - w + 1] - sums[p]) * down[p])
-        ctx = (sums[last + length] - sums[first]) * down[first] + (low * 8192 + high).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        found.append((p + begin, low, high, key.view(np.int64), _mixed(ctx).view(np.int64)))
+        ctx = _mixed((sums[last + length] - sums[first]) * down[first] + (low * 8192 + high).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        # in a row of equal contexts (a short period) those will do whose strings cover all, a first and a last one among them
+        other = np.append(True, (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1]))
+        far = (first - np.maximum.accumulate(np.where(other, first, 0))) // (length // 4)
+        take = np.flatnonzero(other | np.append(other[1:], True) | np.append(True, far[1:] != far[:-1]))
+        found.append((p[take] + begin, low[take], high[take], key[take].view(np.int64), ctx[take].view(np.int64)))
     return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else [()] * 5))
 
 
@@ -216,9 +221,9 @@ def _bytes(text: str | None) -> bytes:
 
 #: at: pos, high and low offset in one number, of 12 bits each for the offsets.
 PLACE = "key long, ctx long, rk binary, at long"
-CONTEXT = "key long, lo int, hi int, split int, content binary, rk binary, pos long"
+CONTEXT = "key long, lo int, hi int, content binary, rk binary, pos long, many boolean"
 SPAN = "rk binary, start long, end long"
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
 def _batches(rows, schema: str, size: int = 4000):
@@ -254,40 +259,41 @@ def _anchor_rows(rows: DataFrame, length: int, k: int) -> DataFrame:
     return rows.select("rk", "text").mapInArrow(run, PLACE)
 
 
-def _per_item(texts: DataFrame, f, schema: str) -> DataFrame:
-    """The rows that f(rk, data, items) gives for each row of texts (rk, text, at); items are (pos, key, lo, hi), each once."""
+def _context_rows(texts: DataFrame, length: int) -> DataFrame:
+    """CONTEXT rows of the items (pos, key, lo, hi, many) in the list `at` of each text: content from hi bytes before the anchor on."""
 
     def rows(batches):
         for batch in batches:
             for rk, text, at in zip(batch.column("rk").to_pylist(), batch.column("text").to_pylist(), batch.column("at").to_pylist()):
-                yield from f(rk, _bytes(text), sorted({(x["pos"], x["key"], x["lo"], x["hi"]) for x in at}))
-
-    return texts.mapInArrow(lambda batches: _batches(rows(batches), schema), schema)
-
+                data = _bytes(text)
+                for pos, key, lo, hi, many in sorted({(x["pos"], x["key"], x["lo"], x["hi"], x["many"]) for x in at}):
+                    yield key, lo, hi, data[pos - hi : pos + length - lo], rk, pos, many
 
-def _context_rows(texts: DataFrame, length: int) -> DataFrame:
-    """CONTEXT rows of items: content from hi bytes before the anchor on, which is at split."""
+    return texts.mapInArrow(lambda batches: _batches(rows(batches), CONTEXT), CONTEXT)
 
-    def of(rk, data, items):
-        for pos, key, lo, hi in items:
-            yield key, lo, hi, hi, data[pos - hi : pos + length - lo], rk, pos
 
-    return _per_item(texts, of, CONTEXT)
+def _range_rows(contexts: DataFrame, length: int, window: int, step: int) -> DataFrame:
+    """PLACE rows of contexts in ranges of `step` offsets. key: of what all strings with an offset in the range share; ctx: of all that they reach."""
 
+    def rows(batches):
+        for batch in batches:
+            for key, lo, hi, data, rk, pos in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                for a in range(lo // step * step, hi + 1, step):
+                    b = min(window, a + step) - 1
+                    low, high = max(a, lo), min(b, hi)
+                    shared = xxhash.xxh3_64_intdigest(data[hi - a : hi + length - b], (key ^ a * _BASE) % (1 << 64))
+                    reached = xxhash.xxh3_64_intdigest(data[hi - high : hi + length - low], low << 32 | high)
+                    yield shared - (1 << 63), reached - (1 << 63), rk, pos << 24 | high << 12 | low
 
-def _range_rows(texts: DataFrame, length: int, window: int, step: int) -> DataFrame:
-    """PLACE rows of items in ranges of `step` offsets. key: of what all strings with an offset in the range share; ctx: of all that they reach."""
+    return contexts.mapInArrow(lambda batches: _batches(rows(batches), PLACE), PLACE)
 
-    def of(rk, data, items):
-        for pos, key, lo, hi in items:
-            for a in range(lo // step * step, hi + 1, step):
-                b = min(window, a + step) - 1
-                low, high = max(a, lo), min(b, hi)
-                shared = xxhash.xxh3_64_intdigest(data[pos - a : pos + length - b], (key ^ a * _BASE) % (1 << 64))
-                reached = xxhash.xxh3_64_intdigest(data[pos - high : pos + length - low], low << 32 | high)
-                yield shared - (1 << 63), reached - (1 << 63), rk, pos << 24 | high << 12 | low
 
-    return _per_item(texts, of, PLACE)
+def _narrowed(items: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """CONTEXT rows of items (key, rk, pos, lo, hi, many), cut out of the contexts that they are ranges of."""
+    wide = contexts.select("rk", "pos", F.col("lo").alias("least"), F.col("hi").alias("most"), "content")
+    inside = items.hint("merge").join(wide, ["rk", "pos"]).filter("lo >= least AND hi <= most")
+    content = F.substring("content", F.col("most") - F.col("hi") + 1, F.col("hi") - F.col("lo") + length)
+    return inside.select("key", "lo", "hi", content.alias("content"), "rk", "pos", "many")
 
 
 def _intervals(contexts: DataFrame, length: int) -> DataFrame:
@@ -296,17 +302,17 @@ def _intervals(contexts: DataFrame, length: int) -> DataFrame:
 
     def flush(groups, held):
         if groups:
-            before = [c[:s][::-1] for _, _, s, c, _, _ in held]
-            after = [c[s:] for _, _, s, c, _, _ in held]
+            before = [c[:hi][::-1] for _, hi, c, _, _ in held]
+            after = [c[hi:] for _, hi, c, _, _ in held]
             most, fewest = repeated(np.array(groups), before, after, length, np.array([x[0] for x in held]), np.array([x[1] for x in held]))
-            for (_, _, _, _, rk, pos), m, f in zip(held, most.tolist(), fewest.tolist()):
+            for (_, _, _, rk, pos), m, f in zip(held, most.tolist(), fewest.tolist()):
                 if m >= 0:
                     yield rk, pos - m, pos - f + length
 
     def rows(batches):
         at, groups, held = None, [], []
         for batch in batches:
-            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if key != at and len(groups) >= CHUNK:
                     yield from flush(groups, held)
                     groups, held = [], []
@@ -348,20 +354,20 @@ def dedup(docs: DataFrame, length: int = 400, k: int = 32, most_contexts: int =
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), extra.alias("rest")).withColumn("rk", row_name(F.col("doc_id"), F.col("text")))
     dealt = rows.select("rk", "doc_id", "text", "rest").repartition("rk")
     # all uses of dealt read all its columns, so that one shuffle serves them
-    texts = lambda items: dealt.hint("merge").join(items.groupBy("rk").agg(F.collect_list(F.struct("pos", "key", "lo", "hi")).alias("at")), "rk").select("rk", "text", "at", "doc_id", "rest")
     window = window_of(length, k)
-    spans, few = [], []
-    places = written(_anchor_rows(rows, length, k), "places")
-    for step in (-(-window // PARTS), 1, None):
-        equal, items = _sorted_out(places, length, most_contexts)
-        spans.append(equal)
-        few.append(items.filter("NOT many").drop("many"))
-        many = items.filter("many").drop("many")
-        if step is None or many.isEmpty():
+    equal, items = _sorted_out(written(_anchor_rows(rows, length, k), "places"), length, most_contexts)
+    lists = items.groupBy("rk").agg(F.collect_list(F.struct("pos", "key", "lo", "hi", "many")).alias("at"))
+    contexts = written(_context_rows(dealt.hint("merge").join(lists, "rk").select("rk", "text", "at", "doc_id", "rest"), length), "contents")
+    spans, few, many = [equal], [contexts.filter("NOT many")], contexts.filter("many")
+    for step in (-(-window // PARTS), 1):
+        if many.isEmpty():
             break
-        places = written(_range_rows(texts(many), length, window, step), "ranges")
-    contexts = _context_rows(texts(reduce(DataFrame.unionByName, few)), length)
-    spans = reduce(DataFrame.unionByName, spans, _intervals(contexts, length))
+        equal, items = _sorted_out(written(_range_rows(many, length, window, step), "ranges"), length, most_contexts)
+        parts = written(_narrowed(items, many, length), "parts")
+        spans.append(equal)
+        few.append(parts.filter("NOT many"))
+        many = parts.filter("many")
+    spans = reduce(DataFrame.unionByName, spans, _intervals(reduce(DataFrame.unionByName, few), length))
     by_row = spans.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
     def cut(batches):
