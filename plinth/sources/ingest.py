@@ -25,6 +25,20 @@ def export_rows(spark: SparkSession, path: str, columns: list[SourceColumn], nul
     return raw.select(*out)
 
 
+def json_rows(spark: SparkSession, path: str, columns: list[SourceColumn]) -> DataFrame:
+    """Typed rows of JSON lines. A row whose keys aren't the columns, all of them, fails: the source has drifted."""
+    texts = T.StructType([T.StructField(c.name, T.StringType()) for c in columns])
+    names = F.array(*[F.lit(n) for n in sorted(c.name for c in columns)])
+    keys = F.array_sort(F.json_object_keys("value"))
+    drift = F.raise_error(F.concat(F.lit("columns of a row differ from the table's: "), F.array_join(F.coalesce(keys, F.array().cast("array<string>")), ", ")))
+    raw = spark.read.text(path).select(F.when(keys == names, F.from_json("value", texts)).otherwise(drift).alias("r"))
+    out = []
+    for c in columns:
+        f = field(c)
+        out.append(typed(F.col("r")[c.name], c).alias(f.name, metadata=f.metadata))
+    return raw.select(*out)
+
+
 def database_rows(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 1, bounds: tuple[int, int] | None = None, **options: str) -> DataFrame:
     """A table of a relational database in one read-only snapshot a connection; with key, parts and bounds it is read in parallel."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)

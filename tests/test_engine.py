@@ -9,6 +9,7 @@ from plinth.engine import Engine, narrowed
 from plinth.functions import dialect
 from plinth.functions.tokens import UnsupportedSyntax, comments, tokens
 from plinth.sources import database
+from plinth.sources.ingest import json_rows
 from plinth.sources.store import Catalog, Conflict, Store
 from plinth.sources.sync import COMMANDS, DatabaseConfig
 from plinth.sources.values import SourceColumn
@@ -162,6 +163,16 @@ def test_discovery(spark):
     assert typed.dtypes == [("id", "int"), ("tags", "array<string>")] and rows(typed) == [(7, ["x", "y"]), (None, None)]
 
 
+def test_json_rows(spark, tmp_path):
+    columns = [SourceColumn("id", "int4"), SourceColumn("doc", "jsonb"), SourceColumn("tags", "_text")]
+    (tmp_path / "a.json").write_text('{"id": 7, "doc": {"k": [1]}, "tags": "{x,y}"}\n{"tags": null, "doc": null, "id": null}\n')
+    assert rows(json_rows(spark, str(tmp_path / "a.json"), columns)) == [(7, '{"k":[1]}', ["x", "y"]), (None, None, None)]
+    for line in ('{"id": 7, "doc": 1}', '{"id": 7, "doc": 1, "tags": "{}", "more": 1}', "nothing"):
+        (tmp_path / "b.json").write_text(line)
+        with pytest.raises(Exception, match="columns of a row differ"):
+            json_rows(spark, str(tmp_path / "b.json"), columns).collect()
+
+
 def test_sync_options(monkeypatch):
     monkeypatch.setenv("PLINTH_PASSWORD", "p")
     c = DatabaseConfig.read("--warehouse w --catalog c --url jdbc:x --include-tables public.a,s.b".split())
