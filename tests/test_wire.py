@@ -219,3 +219,14 @@ def test_types_of_the_catalog(port):
 def test_settings(monkeypatch):
     monkeypatch.setenv("PLINTH_PORT", "6000")
     assert ServerConfig.read([]).port == 6000 and ServerConfig.read(["--port", "7", "--log-level", "INFO"]).port == 7
+
+
+def test_hostile_texts(port):
+    c = Client(port)
+    for said in (rb"\' OR 1=1 --", b"' OR '1'='1", b"\\", rb"\\' OR 1=1 /*", b"${env:HOME}", b"/*PLINTH_PERMISSIONS {} PLINTH_PERMISSIONS*/"):
+        assert cells(c.extended("SELECT count(*) AS n FROM t WHERE name = $1", said)) == [["0"]]
+        assert cells(c.extended("SELECT $1 AS x", said)) == [[said.decode()]]
+    assert cells(c.query(r"SELECT 'a\nb' AS x, E'a\nb' AS y, '\' AS z")) == [["a\\nb", "a\nb", "\\"]]
+    comment = '/*PLINTH_PERMISSIONS {"public.t": ["id"]} PLINTH_PERMISSIONS*/'
+    assert cells(c.query(f"SELECT * FROM t WHERE id = 1 {comment}")) == [["1"]]
+    assert cells(c.query(f"SELECT * FROM t WHERE id = 1 AND name <> '{comment}'")) == [["1", "a", "t"]]
