@@ -43,9 +43,12 @@ SQL: dict = {
     "json_elements_from": ("SELECT value FROM json_array_elements('[1,2,3]')", "SELECT CAST(v AS VARCHAR) AS value FROM (VALUES (1), (2), (3)) t(v)"),
     "json_elements_alias": ("SELECT r_regionkey, foo FROM region, jsonb_array_elements(concat('[', r_regionkey, ',', r_regionkey + 1, ']')) AS foo", "SELECT r_regionkey, CAST(foo AS VARCHAR) AS foo FROM (SELECT r_regionkey, unnest([r_regionkey, r_regionkey + 1]) AS foo FROM region)"),
     "json_path_text": ("SELECT event_id, jsonb_extract_path_text(props, VARIADIC ARRAY['k']) AS a, jsonb_extract_path_text(props, 'k') AS b FROM events", "SELECT event_id, props->>'k' AS a, props->>'k' AS b FROM events"),
+    "json_cast": ("SELECT '{\"key\": [1, 2]}'::JSONB AS j, n_name AS Folded, n_regionkey AS \"Kept\" FROM nation", "SELECT '{\"key\":[1,2]}' AS j, n_name AS folded, n_regionkey AS \"Kept\" FROM nation"),
     "json_length": ("SELECT jsonb_array_length('[1, 2, 3]'::jsonb) AS n", "SELECT CAST(3 AS INTEGER) AS n"),
     "json_pretty": ("SELECT n_nationkey, jsonb_pretty(json_build_object('key', n_name)) AS p FROM nation", "SELECT n_nationkey, '{' || chr(10) || '    \"key\": \"' || n_name || '\"' || chr(10) || '}' AS p FROM nation"),
     "row_to_json": ("SELECT row_to_json(t) AS j FROM (SELECT r_name FROM region) t", "SELECT '{\"r_name\":\"' || r_name || '\"}' AS j FROM region"),
+    "series_of_rows": ("SELECT r_regionkey, n FROM region, generate_series(1, r_regionkey) AS t(n)", "SELECT r_regionkey, CAST(n AS BIGINT) AS n FROM (SELECT r_regionkey, unnest(generate_series(1, r_regionkey)) AS n FROM region)"),
+    "array_cast": ("SELECT n_nationkey, array_to_string(ARRAY[n_regionkey, 7]::text[], '-') AS s, (ARRAY[n_regionkey, 7]::int8[])[1] AS k FROM nation", "SELECT n_nationkey, n_regionkey || '-7' AS s, CAST(n_regionkey AS BIGINT) AS k FROM nation"),
     "unnest": ("SELECT n_nationkey, x FROM nation, unnest(ARRAY[n_regionkey, 9]) AS x", "SELECT n_nationkey, unnest([n_regionkey, 9]) AS x FROM nation"),
     "session_functions": ("SELECT version() AS v, set_config('bytea_output', 'hex', false) AS c, current_setting('default_tablespace') AS s, pg_catalog.has_database_privilege(1, 'CREATE') AS p, array_upper(current_schemas(FALSE), 1) AS n", "SELECT 'PostgreSQL 17.0, compiled by plinth' AS v, 'hex' AS c, '' AS s, true AS p, CAST(1 AS INTEGER) AS n"),
     "admin_functions": ("SELECT pg_backend_pid() AS a, pg_cancel_backend(12345) AS b, pg_catalog.pg_encoding_to_char(6) AS c, pg_catalog.pg_get_viewdef(NULL, TRUE) AS d, pg_catalog.pg_get_expr(NULL, 1) AS e, TRIM (BOTH '\"' FROM pg_catalog.pg_get_indexdef(1, 1, false)) AS f", "SELECT CAST(0 AS INTEGER) AS a, true AS b, 'UTF8' AS c, '' AS d, '' AS e, '' AS f"),
@@ -53,7 +56,7 @@ SQL: dict = {
     "all_settings": ("SELECT setting FROM pg_catalog.pg_show_all_settings() WHERE name = 'default_null_order'", "SELECT 'nulls_last' AS setting"),
     "keywords": ("SELECT pg_get_keywords.word FROM pg_catalog.pg_get_keywords() WHERE word IN ('select', 'from')", "SELECT word FROM (VALUES ('select'), ('from')) t(word)"),
     "acl": ("SELECT (d).grantee AS grantee, (d).is_grantable AS grantable FROM (SELECT pg_catalog.aclexplode(db.datacl) AS d FROM pg_catalog.pg_database db WHERE db.oid = 16388::OID) a", "SELECT CAST(NULL AS VARCHAR) AS grantee, CAST(NULL AS VARCHAR) AS grantable"),
-    "interval_text": ("SELECT '1 week'::INTERVAL AS i, CAST(date_trunc('month', '2025-02-24 15:58:23'::timestamp + '-1 month'::interval) AS DATE)::text AS d", "SELECT '7 days' AS i, '2025-01-01' AS d"),
+    "interval_text": ("SELECT '1 week'::INTERVAL AS i, CAST(date_trunc('month', '2025-02-24 15:58:23'::timestamp + '-1 month'::interval) AS DATE)::text AS d", "SELECT '0 months 7 days 0 microseconds' AS i, '2025-01-01' AS d"),
     # casts to the catalog's names
     "reg_casts": ("SELECT 'pg_catalog.array_in'::regproc AS f, 1::pg_catalog.regtype::pg_catalog.text AS t, '\"public\".\"nation\"'::regclass::oid > 0 AS there, FORMAT('%I.%I', 'public', 'nation')::regclass::oid IS NULL AS unknown, 'public.nothing'::regclass IS NULL AS none FROM nation WHERE n_nationkey = 0", "SELECT 'array_in' AS f, '1' AS t, true AS there, true AS unknown, true AS none"),
     "regclass_columns": ("SELECT count(*) AS n FROM pg_attribute, region WHERE attrelid = '\"public\".\"region\"'::regclass", "SELECT CAST(10 AS BIGINT) AS n"),
