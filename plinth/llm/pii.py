@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.shared import Generations, fresh, row_name, written
+from plinth.llm.shared import fresh, row_name, written
 
 KINDS = ("email", "ip", "card", "phone")
 BITS = 1 << 26
@@ -99,15 +99,7 @@ def entities(kind: str, value: str) -> list[int]:
 
 def terms_of(text: str, spans) -> list[tuple[str, int, int]]:
     """Words with a letter or digit that overlap no span."""
-    out, ends = [], sorted((x, y) for _, x, y in spans)
-    k, reach = 0, 0  # all spans that start before a word's end: the furthest end
-    for m in _TERM.finditer(text):
-        while k < len(ends) and ends[k][0] < m.end():
-            reach = max(reach, ends[k][1])
-            k += 1
-        if reach <= m.start() and _WORD.search(m[0]):
-            out.append((m[0], m.start(), m.end()))
-    return out
+    return outside([(m[0], m.start(), m.end()) for m in _TERM.finditer(text)], spans)
 
 
 FOUND = "row string, no long, rk binary, doc_id long, base string, h long"
@@ -179,17 +171,39 @@ def term_counts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     return rows.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("df_t"))
 
 
+def outside(hits: list[tuple[str, int, int]], spans) -> list[tuple[str, int, int]]:
+    """The words with a letter or digit that overlap no span; both in order of start."""
+    ends, out, k, reach = sorted((a, b) for _, a, b in spans), [], 0, 0
+    for w, a, b in hits:
+        while k < len(ends) and ends[k][0] < b:
+            reach = max(reach, ends[k][1])
+            k += 1
+        if reach <= a and _WORD.search(w):
+            out.append((w, a, b))
+    return out
+
+
 def places(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     """(rk, t, a, b): the words of all texts whose bit is set, outside base spans."""
     types = [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
-        known = Generations(lambda w: bool(_in_bitmap(bits, np.array([_HASH(w)]))[0]), 200_000)
+        known: dict[str, int | None] = {}  # the hash of a word whose bit is set
         for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            parts = [set(t.split()) for t in texts]
+            new = list(set().union(*parts) - known.keys())
+            if len(known) + len(new) > 400_000:
+                known.clear()
+                new = list(set().union(*parts))
+            h = np.array([_HASH(w) for w in new], np.int64)
+            known.update((w, x if set_ else None) for w, x, set_ in zip(new, h.tolist(), _in_bitmap(bits, h).tolist()))
+            telling = {w for w in set().union(*parts) if known[w] is not None}
             out = []
-            for rk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text and any(known[w] for w in set(text.split())):
-                    out += [(rk, _HASH(w), a, b) for w, a, b in terms_of(text, base_spans(text)) if known[w]]
+            for rk, text, words in zip(batch.column(0).to_pylist(), texts, parts):
+                if not telling.isdisjoint(words):
+                    hits = [(w, m.start(), m.end()) for m in _TERM.finditer(text) if (w := m[0]) in telling]
+                    out += [(rk, known[w], a, b) for w, a, b in outside(hits, base_spans(text))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["rk", "t", "a", "b"])
 
