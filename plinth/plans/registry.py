@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plinth.engine import Engine
 from plinth.operators import temporal
@@ -15,6 +16,17 @@ from plinth.session import shared_dir
 SQL = RELATIONAL | surface.SQL
 
 
+#: Schemas by path: a table's files are looked at once a process, as by a catalog.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def engine(spark: SparkSession, sf_dir: str, sql: str, warehouse: bool = False) -> Engine:
     """An engine that knows the tables which a text names."""
     folder = None
@@ -23,7 +35,7 @@ def engine(spark: SparkSession, sf_dir: str, sql: str, warehouse: bool = False)
     out = Engine(spark, folder)
     for name in LINES.split():
         if name in sql:
-            out.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            out.register(name, _table(spark, sf_dir, name))
     return out
 
 
@@ -82,7 +94,7 @@ def _store(change):
 
     def run(spark, sf_dir) -> DataFrame:
         e = engine(spark, sf_dir, "orders", True)
-        rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*_ORDERS)
+        rows = _table(spark, sf_dir, "orders").select(*_ORDERS)
         e.store.replace("public", "o", rows)
         change(e.store, rows)
         return e.sql("SELECT * FROM o")
@@ -105,7 +117,7 @@ def _append(override):
 
     def run(spark, sf_dir) -> DataFrame:
         e = engine(spark, sf_dir, "orders", True)
-        rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*_ORDERS, "o_orderdate")
+        rows = _table(spark, sf_dir, "orders").select(*_ORDERS, "o_orderdate")
         e.store.replace("public", "o", rows.filter("o_orderdate < DATE '2000-01-01'"))
         last = e.store.last_cursor("public", "o", "o_orderdate")
         at = F.lit(last).cast("timestamp_ntz")
@@ -116,7 +128,7 @@ def _append(override):
 
 
 def _events(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _table(spark, sf_dir, "events")
 
 
 def _asof(spark, sf_dir) -> DataFrame:
