@@ -104,6 +104,33 @@ def test_suffix_dedup_hot_passage(spark):
         assert got == want
 
 
+def test_places_cover_every_start_once(monkeypatch):
+    r = np.random.default_rng(2)
+    half = r.integers(97, 123, 5000).astype(np.uint8)
+    data = np.concatenate([half, r.integers(97, 123, 777).astype(np.uint8), half])
+    offsets = []
+    for segment in (1 << 18, 1000):
+        monkeypatch.setattr(suffixdedup, "SEGMENT", segment)
+        pos, low, high, key, ctx = suffixdedup.anchors(data, 100, 16)
+        at = np.full(len(data) - 99, -1)
+        for p, a, b in zip(pos, low, high):
+            assert (at[p - b : p - a + 1] == -1).all()
+            at[p - b : p - a + 1] = p
+        offset = at - np.arange(len(at))
+        assert (at >= 0).all() and offset.min() >= 0 and offset.max() < suffixdedup.window_of(100, 16)
+        assert (offset[:4901] == offset[5777:]).all()  # equal strings have equal offsets
+        offsets.append(offset)
+    assert (offsets[0] == offsets[1]).all()
+
+
+def test_short_periods_need_few_places(spark):
+    texts = ["ab cd " * 4000, "x" * 3000 + "ab cd " * 300, "ab cd " * 70 + "y", "zz" * 250]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_bytes"], sum(s["end"] - s["start"] for s in x["spans"]), len(x["spans"]), hashlib.sha256(x["kept"]).hexdigest()) for x in suffixdedup.dedup(docs).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 400)))
+    assert len(suffixdedup.anchors(np.frombuffer(texts[0].encode(), np.uint8), 400, 32)[0]) < 400
+
+
 def test_deep_shallow_sorts():
     r = random.Random(1)
     for shallow in (0, 8, 64):
@@ -459,6 +486,13 @@ def test_url_filters(spark, sf):
     assert "Python" not in plan and "Cartesian" not in plan
 
 
+def test_long_pages(spark):
+    html = "".join(f'<a href="http://h{i % 3000}.net/">' for i in range(20_000)) + "<a " + "x" * 500_000
+    pages = spark.createDataFrame([(1, "http://spam.example.org/es/" + "p" * 400_000, html, 1, 2), (2, "http://h7.net/", "", 1, 2), (3, "h" * 300_000, html, 1, 2)], "page_id long, url string, html string, m int, links int")
+    got = {r["page_id"]: (len(r["path"]), r["rule"], r["verdict"]) for r in urlfilter.query(pages).collect()}
+    assert got == {1: (400_004, "example.org/es/", "block"), 2: (1, None, "allow"), 3: (0, None, "allow")}
+
+
 def test_many_rules(spark):
     # a table of rules, more than a plan could hold; the longest wins, then the longer host, then block
     rules = [("block" if i % 3 else "allow", f"h{i % 700}.net", f"/p{i}/") for i in range(20_000)] + [("allow", "net", "/p7/x/"), ("block", "h7.net", "/p7/"), ("allow", "h7.net", "/p7/"), ("allow", "a.com", "/bc"), ("block", "com", "/bc/d")]
