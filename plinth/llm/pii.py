@@ -164,7 +164,7 @@ def term_counts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 for w in set((text or "").split()):
                     counts[w] = counts.get(w, 0) + 1
-                if len(counts) > 400_000:
+                if len(counts) > 150_000:
                     yield flush()
         yield flush()
 
@@ -189,11 +189,11 @@ def places(rows: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches):
         known: dict[str, int | None] = {}  # the hash of a word whose bit is set
-        for batch in batches:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             parts = [set(t.split()) for t in texts]
             new = list(set().union(*parts) - known.keys())
-            if len(known) + len(new) > 400_000:
+            if len(known) + len(new) > 150_000:
                 known.clear()
                 new = list(set().union(*parts))
             h = np.array([_HASH(w) for w in new], np.int64)
