@@ -3,16 +3,17 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word (a run of letters, lower-cased,
 with the word-start mark) is scored by the forward algorithm: the sum over all its segmentations into pieces of the product of their
 probabilities; a text by the sum of its words' logarithms. Piece probabilities come from expectation-maximisation over the
-words of a bounded sample of labelled training rows, on executors; what is collected is a table of vocabulary x languages.
+words of all labelled training rows, on executors; what is collected is a table of vocabulary x languages.
 """
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
@@ -20,6 +21,10 @@ from pyspark.sql import types as T
 from plinth.llm.shared import fresh, written
 
 MARK, LONGEST_WORD, UNKNOWN, CACHE = "▁", 32, 1e-7, 150_000
+#: Words a task counts before it hands them on, and words whose segmentations are taken together.
+COUNTED, TOGETHER = 150_000, 8192
+#: Ranges of a unit of log-probability in which fits are counted to find their median.
+RANGES = 4096
 #: Languages of a model, which is a table of vocabulary x languages; more fail.
 MOST_LANGUAGES = 256
 _SHARES = 1 << 40
@@ -71,8 +76,9 @@ def _table(path: str):
     raise ValueError("the vocabulary is too large for its slot tables")
 
 
-def forward(words: list[str], vocabulary: str, probs: np.ndarray) -> np.ndarray:
-    """Log-probabilities, words x languages: for each word the sum over all its segmentations. A character of no piece counts UNKNOWN."""
+def _lattice(words: list[str], vocabulary: str):
+    """Order of the words (longest first), their sizes with the mark in that order, and (start, end, numbers) of all substrings by end, then
+    start: the piece between them in each word that reaches end, -1 where there is none."""
     first, second, odd, hashes, up, down, longest = _table(vocabulary)
     marked = [MARK + w for w in words]
     sizes = np.array([len(w) for w in marked])
@@ -80,22 +86,33 @@ def forward(words: list[str], vocabulary: str, probs: np.ndarray) -> np.ndarray:
     codes = np.frombuffer("".join(marked[i].ljust(LONGEST_WORD, "\0") for i in order).encode("utf-32-le"), "<u4").reshape(len(words), LONGEST_WORD)
     sums = np.zeros((LONGEST_WORD + 1, len(words)), np.uint64)
     np.cumsum(((codes + np.uint64(1)) * up[:LONGEST_WORD]).T, axis=0, out=sums[1:])
+    sizes = sizes[order]
+
+    def arcs():
+        for end in range(1, int(sizes[0]) + 1):
+            m = int(np.searchsorted(-sizes, -end, side="right"))
+            for start in range(max(0, end - longest), end):
+                h = _mixed((sums[end, :m] - sums[start, :m]) * down[start])
+                at = first[h >> np.uint64(44)]
+                wrong = hashes[at] != h
+                other = second[(h[wrong] * odd) >> np.uint64(44)]
+                at[wrong] = np.where((other >= 0) & (hashes[other] == h[wrong]), other, -1)
+                yield start, end, at
+
+    return order, sizes, arcs()
+
+
+def forward(words: list[str], vocabulary: str, probs: np.ndarray) -> np.ndarray:
+    """Log-probabilities, words x languages: for each word the sum over all its segmentations. A character of no piece counts UNKNOWN."""
+    order, sizes, arcs = _lattice(words, vocabulary)
     f = np.zeros((LONGEST_WORD + 1, len(words), probs.shape[1]))
     f[0] = 1
-    sizes = sizes[order]
-    for end in range(1, int(sizes[0]) + 1):
-        m = int(np.searchsorted(-sizes, -end, side="right"))
-        got = f[end, :m]
-        for start in range(max(0, end - longest), end):
-            h = _mixed((sums[end, :m] - sums[start, :m]) * down[start])
-            at = first[h >> np.uint64(44)]
-            wrong = hashes[at] != h
-            other = second[(h[wrong] * odd) >> np.uint64(44)]
-            at[wrong] = np.where((other >= 0) & (hashes[other] == h[wrong]), other, -1)
-            hit = np.flatnonzero(at >= 0)
-            got[hit] += f[start, hit] * probs[at[hit]]
-            if start == end - 1:
-                got[at < 0] += f[start, :m][at < 0] * UNKNOWN
+    for start, end, at in arcs:
+        got = f[end, : len(at)]
+        hit = np.flatnonzero(at >= 0)
+        got[hit] += f[start, hit] * probs[at[hit]]
+        if start == end - 1:
+            got[at < 0] += f[start, : len(at)][at < 0] * UNKNOWN
     out = np.empty((len(words), probs.shape[1]))
     out[order] = np.log(f[sizes, np.arange(len(words))])
     return out
@@ -123,6 +140,29 @@ def expected(word: str, weight: float, known: dict[str, int], longest: int, prob
             counts[at] = counts.get(at, 0.0) + weight * f[start] * p * b[end] / f[size]
 
 
+def all_expected(words: list[str], weights: list[int], vocabulary: str, probs: np.ndarray) -> np.ndarray:
+    """The expected number of each piece in all words, under one language's probs: what expected gives for a word each, summed."""
+    order, sizes, arcs = _lattice(words, vocabulary)
+    each = np.arange(len(words))
+    f, b = np.zeros((2, LONGEST_WORD + 1, len(words)))
+    f[0] = b[sizes, each] = 1
+    held = []
+    for start, end, at in arcs:
+        hit = np.flatnonzero(at >= 0)
+        p = probs[at[hit]]
+        f[end, hit] += f[start, hit] * p
+        rest = np.flatnonzero(at < 0) if start == end - 1 else each[:0]
+        f[end, rest] += f[start, rest] * UNKNOWN
+        held.append((start, end, hit, at[hit], p, rest))
+    share = np.asarray(weights, np.float64)[order] / f[sizes, each]
+    found = []
+    for start, end, hit, _, p, rest in reversed(held):  # what starts at an end came behind it
+        found.append(share[hit] * f[start, hit] * p * b[end, hit])
+        b[start, hit] += p * b[end, hit]
+        b[start, rest] += UNKNOWN * b[end, rest]
+    return np.bincount(np.concatenate([x[3] for x in reversed(held)]), np.concatenate(found), len(probs))
+
+
 def quotas(counts: dict[str, int], most: int) -> dict[str, float]:
     """What each may take of most in all: the same for each, but what small ones leave goes to the others."""
     out, left = {}, float(most)
@@ -144,23 +184,32 @@ def sample_of(labelled: DataFrame, most_docs: int) -> DataFrame:
     return rows.select("text", "lang")
 
 
-def fit(train: DataFrame, vocabulary: str, most_docs: int = 8_000, rounds: int = 2, smoothing: float = 0.05) -> tuple[list[str], np.ndarray]:
+def fit(train: DataFrame, vocabulary: str, most_docs: int | None = None, rounds: int = 2, smoothing: float = 0.05) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities (pieces x languages) from rows (doc_id, text, lang).
 
-    Those that sample_of takes are used. No rows: no languages.
+    All are learnt from; with most_docs, which no query sets, those that sample_of takes. No rows: no languages.
     """
-    rows = sample_of(train, most_docs)
+    rows = sample_of(train, most_docs) if most_docs else train.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
 
     def count(batches):
+        counts: dict[str, Counter] = {}
+
+        def found():
+            for lang, c in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
+            counts.clear()
+
         for batch in batches:
-            counts: dict[tuple[str, str], int] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in words(text):
-                    counts[lang, w] = counts.get((lang, w), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
-
-    sample = written(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # at most MOST_LANGUAGES
+                counts.setdefault(lang, Counter()).update(words(text))
+                if sum(map(len, counts.values())) >= COUNTED:
+                    yield from found()
+        yield from found()
+
+    counted_words = written(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    langs = sorted(r["lang"] for r in counted_words.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     known, _ = pieces(vocabulary)
     probs = np.full((len(known), len(langs)), 1 / len(known))
     number = {x: i for i, x in enumerate(langs)}
@@ -168,21 +217,29 @@ def fit(train: DataFrame, vocabulary: str, most_docs: int = 8_000, rounds: int =
         shared = train.sparkSession.sparkContext.broadcast(probs)  # pieces x at most MOST_LANGUAGES numbers
 
         def step(batches, shared=shared):
-            known, longest = pieces(vocabulary)
-            lists: dict[int, list] = {}
-            counts: dict[int, dict[int, float]] = {}
+            held: dict[int, tuple[list[str], list[int]]] = {}
+            counts: dict[int, np.ndarray] = {}
+
+            def settle(k):
+                got = all_expected(*held.pop(k), vocabulary, np.ascontiguousarray(shared.value[:, k]))
+                counts[k] = counts[k] + got if k in counts else got
+
             for batch in batches:
                 for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     k = number[lang]
-                    if k not in lists:
-                        lists[k], counts[k] = shared.value[:, k].tolist(), {}
-                    expected(word, n, known, longest, lists[k], counts[k])
-            flat = [(k, at, x) for k, c in counts.items() for at, x in c.items()]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat), (pa.int32(), pa.int32(), pa.float64()))], ["k", "at", "x"])
+                    mine = held.setdefault(k, ([], []))
+                    mine[0].append(word)
+                    mine[1].append(n)
+                    if len(mine[0]) == TOGETHER:
+                        settle(k)
+            for k in list(held):
+                settle(k)
+            for k, c in counts.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at])], ["k", "at", "x"])
 
         # summed on executors; the model's size comes back
-        found = sample.mapInArrow(step, "k int, at int, x double").groupBy("k", "at").agg(F.sum("x").alias("x")).toArrow()
+        found = counted_words.mapInArrow(step, "k int, at int, x double").groupBy("k", "at").agg(F.sum("x").alias("x")).toArrow()
         counted = np.full(probs.shape, smoothing)
         counted[found["at"].to_numpy(), found["k"].to_numpy()] += found["x"].to_numpy()
         probs = counted / counted.sum(axis=0)
@@ -288,11 +345,22 @@ def held_out(documents: DataFrame) -> DataFrame:
     return documents.filter(F.crc32(F.col("doc_id").cast("string")) % 3 == 1).filter("lang IS NOT NULL")
 
 
-def usual_fit(held: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, most_docs: int = 8_000) -> dict[str, float]:
-    """The median log-probability per character of each language's held-out texts; for languages without any, the lowest of the others."""
-    rows = scored(sample_of(held, most_docs), model, vocabulary, "found").filter("found.pred = lang")
-    found = dict(tuple(r) for r in rows.groupBy("lang").agg(F.percentile_approx("found.fit", 0.5, 1000)).collect())  # a row a language
-    return {k: found.get(k, min(found.values())) for k in model[0]} if found else {}
+def usual_fit(held: DataFrame, name: str, langs: list[str]) -> dict[str, float]:
+    """The median (the lower of two) log-probability per character of each language's rows of held that are predicted right, all of them
+    counted; for languages without any, the lowest of the others. held has the struct `name` of scored.
+
+    Fits are counted by ranges, whose number has a bound, and in the range that holds the median by value.
+    """
+    x = F.col(name)
+    fits = held.filter((x["pred"] == F.col("lang")) & x["fit"].isNotNull()).select("lang", x["fit"].alias("fit"), F.floor(x["fit"] * RANGES).alias("part"))
+    values = written(fits.groupBy("lang", "part", "fit").agg(F.count("*").alias("n")), "fits")
+    by_part = Window.partitionBy("lang").orderBy("part")
+    parts = values.groupBy("lang", "part").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(by_part))
+    parts = parts.withColumn("half", F.ceil(F.sum("n").over(Window.partitionBy("lang")) / 2))
+    middle = parts.filter("upto >= half AND upto - n < half").select("lang", "part", (F.col("half") - F.col("upto") + F.col("n")).alias("least"))
+    near = values.join(F.broadcast(middle), ["lang", "part"]).withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("fit")))
+    found = dict(tuple(r) for r in near.filter("upto >= least").groupBy("lang").agg(F.min("fit")).collect())  # a row a language
+    return {k: found.get(k, min(found.values())) for k in langs} if found else {}
 
 
 def accepted(docs: DataFrame, vocabulary: str, least_score: float = 0.5, worst_fit: float = 2.0, slack: float = 8.0) -> DataFrame:
@@ -303,9 +371,9 @@ def accepted(docs: DataFrame, vocabulary: str, least_score: float = 0.5, worst_f
     texts nothing is known of that, and the posterior alone decides.
     """
     model = fit(training(docs), vocabulary)
-    usual = usual_fit(held_out(docs), model, vocabulary)
     name = fresh("found", docs)
-    found = scored(docs, model, vocabulary, name)
+    found = written(scored(docs, model, vocabulary, name), "scored")  # each text is scored once
+    usual = usual_fit(held_out(found), name, model[0])
     x = found[name]
     fits = F.lit(True)
     if usual:

@@ -686,6 +686,66 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(sum(counts[small[p]] * len(p) for p in small if small[p] in counts), 10.0)
 
 
+def test_expected_pieces_of_many_words():
+    path = vocabulary("piece_bpe_32k.model")
+    known, longest = langid.pieces(path)
+    probs = np.random.default_rng(3).random(len(known)) / 100
+    words, weights = ["the", "und", "ö", "\u16a0x", "internationalisation", "a" * 31, "éèê", "x", "的是"], [5, 1, 2, 1, 7, 1, 3, 100, 1]
+    counts: dict = {}
+    for w, n in zip(words, weights):
+        langid.expected(w, n, known, longest, probs.tolist(), counts)
+    want = np.zeros(len(known))
+    want[list(counts)] = list(counts.values())
+    assert np.allclose(langid.all_expected(words, weights, path, probs), want)
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    """The model of 12,000 rows, from each word's segmentations in plain Python."""
+    monkeypatch.setattr(langid, "COUNTED", 50, raising=False)
+    monkeypatch.setattr(langid, "TOGETHER", 7, raising=False)
+    path, r = vocabulary("piece_bpe_32k.model"), random.Random(5)
+    word = lambda: "".join(r.choice("abcdeio") for _ in range(r.randrange(1, 9)))
+    many = {x: [word() for _ in range(150)] for x in ("aa", "bb")}
+    rows_ = [(i, " ".join(r.choices(many[x], range(150), k=3)), x) for i in range(12_000) for x in ["bb" if i % 5 == 0 else "aa"]]
+    langs, probs = langid.fit(spark.createDataFrame([*rows_, (-1, None, "cc"), (-2, "1 2", "dd")], "doc_id long, text string, lang string"), path)
+    known, longest = langid.pieces(path)
+    assert langs == ["aa", "bb"]
+    for k, x in enumerate(langs):
+        words_, p = Counter(w for _, t, y in rows_ if x == y for w in t.split()), np.full(len(known), 1 / len(known))
+        for _ in range(2):
+            counts: dict = {}
+            for w, n in words_.items():
+                langid.expected(w, n, known, longest, p.tolist(), counts)
+            p = np.full(len(known), 0.05)
+            p[list(counts)] += list(counts.values())
+            p /= p.sum()
+        assert np.allclose(probs[:, k], p)
+
+
+def test_usual_fit_is_the_median_of_all(spark):
+    r = random.Random(9)
+    fits = {"aa": [r.gauss(-2, 0.3) for _ in range(20_000)], "bb": [-1.5] * 70 + [-1.4999] * 71 + [r.gauss(-2, 1e-5) for _ in range(60)], "cc": [-3.0, -1.0]}
+    rows_ = [(k, (k, f)) for k, v in fits.items() for f in v] + [("aa", ("bb", -9.0))] * 30_000 + [("dd", ("aa", -0.1)), ("cc", ("cc", None))]
+    held = spark.createDataFrame(rows_, "lang string, found struct<pred:string,fit:double>").repartition(7)
+    want = {k: sorted(v)[(len(v) - 1) // 2] for k, v in fits.items()}
+    assert langid.usual_fit(held, "found", ["aa", "bb", "cc", "dd"]) == want | {"dd": min(want.values())}
+    assert langid.usual_fit(held.limit(0), "found", ["aa"]) == {}
+
+
+def test_held_out_rows_all_count(spark, monkeypatch):
+    """What is judged a language's text doesn't hang on which rows a sample takes: the median is that of 9,000 held-out rows."""
+    seen, usual, r = {}, langid.usual_fit, random.Random(13)
+    monkeypatch.setattr(langid, "usual_fit", lambda *args: seen.setdefault("usual", usual(*args)))
+    ids = [i for i in range(40_000) if zlib.crc32(str(i).encode()) % 3 == 1][:9000] + [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    texts = [" ".join(r.choices("the house of more and this people water under never again small light paper".split(), k=3 + i % 17)) for i in ids]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    path = vocabulary("piece_bpe_32k.model")
+    langid.accepted(docs, path).collect()
+    model = langid.fit(langid.training(docs), path)
+    found = sorted(x[2] for x in langid.Scorer(path, *model).predict(texts[:9000]))
+    assert np.isclose(seen["usual"]["en"], found[4499], rtol=1e-12)
+
+
 # --- op10
 
 
